@@ -16,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def portable(df: DataFrame) -> DataFrame:
-    """For comparison with other engines: instants as microseconds, days as text, lists joined by ``|``."""
-    forms = {"timestamp": F.unix_micros, "date": lambda c: F.col(c).cast("string"), "array<string>": lambda c: F.array_join(c, "|")}
+    """For comparison with other engines: instants and days as text, lists joined by ``|``."""
+    forms = {"timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "date": lambda c: F.col(c).cast("string"), "array<string>": lambda c: F.array_join(c, "|")}
     return df.withColumns({c: forms[kind](c) for c, kind in df.dtypes if kind in forms})
 
 
@@ -122,6 +122,12 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+
+def _text(instant: str) -> str:
+    """SQL for an instant as ``portable`` writes it."""
+    return f"strftime({instant} AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f')"
+
+
 _REFERENCES_SQL = """
 refs AS (
   SELECT 'payment_events' ref_table, 'payment_id' ref_field, 'payments' parent, payment_id v, delivery_id ref_key, ingested_at arrived FROM payment_events
@@ -147,7 +153,7 @@ s AS (SELECT *, CAST(floor(e / 3600000000) AS BIGINT) h, coalesce(k > (CAST(floo
 """
 _FIRSTS_SQL = "row_number() OVER (PARTITION BY {key} ORDER BY delivery_id) AS rn"
 _REPLACE = "occurred_at, kafka_timestamp, ingested_at".split(", ")
-_AS_MICROS = ", ".join(f"epoch_us({c}) AS {c}" for c in _REPLACE) + ", CAST(event_date AS VARCHAR) AS event_date"
+_AS_MICROS = ", ".join(f"{_text(c)} AS {c}" for c in _REPLACE) + ", CAST(event_date AS VARCHAR) AS event_date"
 _PAYMENT_KEY = "coalesce(nullif(lower(trim(event_id, ' ')), ''), concat('c:', source_topic, '|', source_partition, '|', source_offset, '|', leader_epoch))"
 _DECISION_KEY = "coalesce(nullif(lower(trim(event_id, ' ')), ''), nullif(lower(trim(decision_id, ' ')), ''), concat('c:', source_topic, '|', source_partition, '|', source_offset, '|', leader_epoch))"
 
@@ -161,12 +167,12 @@ passed AS (SELECT b.stream_table, b.h, o.t, o.p, min(s.k) k FROM bounds b JOIN s
   LEFT JOIN s ON s.stream_table = b.stream_table AND s.t = o.t AND s.p = o.p AND s.k > (b.h + 7) * 3600000000 GROUP BY ALL),
 closed AS (SELECT stream_table, h, max(least(coalesce(k, (h + 9) * 3600000000), (h + 9) * 3600000000)) c FROM passed GROUP BY ALL),
 frontier AS (SELECT stream_table, max(k) f FROM s GROUP BY ALL)
-SELECT s.stream_table, s.h * 3600000000 AS event_hour, count(*) FILTER (NOT late) AS n_rows, CAST(sum(val) FILTER (NOT late) AS BIGINT) AS value_sum,
+SELECT s.stream_table, {_text('make_timestamptz(s.h * 3600000000)')} AS event_hour, count(*) FILTER (NOT late) AS n_rows, CAST(sum(val) FILTER (NOT late) AS BIGINT) AS value_sum,
   count(*) FILTER (NOT late AND k >= (s.h + 1) * 3600000000) AS n_corrections, count(*) FILTER (late) AS n_diverted,
-  any_value(c) AS closed_at, any_value(c) <= any_value(f) AS is_final
+  {_text('make_timestamptz(any_value(c))')} AS closed_at, any_value(c) <= any_value(f) AS is_final
 FROM s JOIN closed USING (stream_table, h) JOIN frontier USING (stream_table) WHERE s.h IS NOT NULL GROUP BY s.stream_table, s.h""",
     "p5_found": f"""SELECT 'payment_events' AS stream_table, delivery_id FROM (SELECT delivery_id, {_FIRSTS_SQL.format(key=_PAYMENT_KEY)} FROM payment_events) WHERE rn > 1
 UNION ALL SELECT 'decision_events', delivery_id FROM (SELECT delivery_id, {_FIRSTS_SQL.format(key=_DECISION_KEY)} FROM decision_events) WHERE rn > 1""",
-    "p5_unique_payment_events": f"SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, epoch_us(created_at) AS created_at) FROM (SELECT *, {_FIRSTS_SQL.format(key=_PAYMENT_KEY)} FROM payment_events) WHERE rn = 1",
-    "p5_unique_decision_events": f"SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, epoch_us(decision_at) AS decision_at, array_to_string(reason_codes, '|') AS reason_codes) FROM (SELECT *, {_FIRSTS_SQL.format(key=_DECISION_KEY)} FROM decision_events) WHERE rn = 1",
+    "p5_unique_payment_events": f"SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, {_text('created_at')} AS created_at) FROM (SELECT *, {_FIRSTS_SQL.format(key=_PAYMENT_KEY)} FROM payment_events) WHERE rn = 1",
+    "p5_unique_decision_events": f"SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, {_text('decision_at')} AS decision_at, array_to_string(reason_codes, '|') AS reason_codes) FROM (SELECT *, {_FIRSTS_SQL.format(key=_DECISION_KEY)} FROM decision_events) WHERE rn = 1",
 }
