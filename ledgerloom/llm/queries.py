@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import encode
+from ledgerloom.llm import encode, spans
 from ledgerloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids,)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_shares(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p8_found, p8_shares)}
 
 ORACLE: dict[str, str] = {}
