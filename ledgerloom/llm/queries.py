@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import encode, spans
+from ledgerloom.llm import encode, packing, spans
 from ledgerloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,18 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"))
 
 
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(encode.token_counts(table(spark, d, "documents")))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _containers(spark, d)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_containers(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
@@ -24,6 +36,6 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
 
 ORACLE: dict[str, str] = {}
