@@ -5,13 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import encode, packing, spans
-from ledgerloom.tables import table
+from ledgerloom.llm import encode, packing, quantiles, spans
+from ledgerloom.session import materialize
+from ledgerloom.tables import clean_id, day_text, table, utc_day
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Group and day of every measured value: ``measure`` names table and column, ``member`` the model version or merchant.
+_KEYS = ["measure", "member", "day"]
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """(measure, member, day, x) of all measures; each table is scanned once."""
+    decisions = table(spark, d, "decision_events")
+    cells = F.array(*[F.struct(F.lit(f"decision_events.{c}").alias("measure"), F.col(c).cast("double").alias("x")) for c in ("risk_score", "model_probability")])
+    scores = decisions.select(F.explode(cells).alias("cell"), F.col("model_version").alias("member"), F.col("event_date").cast("string").alias("day"))
+    scores = scores.select("cell.measure", "member", "day", "cell.x")
+    amount = F.col("amount_minor").cast("double").alias("x")
+    counts = table(spark, d, "payment_status_counts").select(F.lit("payment_status_counts.amount_minor").alias("measure"), clean_id("merchant_id").alias("member"), day_text(utc_day("snapshot_at")).alias("day"), amount)
+    events = table(spark, d, "payment_events").select(F.lit("payment_events.amount_minor").alias("measure"), clean_id("merchant_id").alias("member"), F.col("event_date").cast("string").alias("day"), amount)
+    return scores.unionByName(counts).unionByName(events)
+
+
+def p4_daily(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.percentiles(quantiles.build_summaries(_values(spark, d), _KEYS, "x"), _KEYS)
+
+
+def p4_period(spark: SparkSession, d: str) -> DataFrame:
+    daily = materialize(quantiles.build_summaries(_values(spark, d), _KEYS, "x"), "daily")
+    keys = ["measure", "member"]
+    return quantiles.percentiles(quantiles.combine(daily, keys), keys)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"))
 
@@ -36,6 +64,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_daily, p4_period, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
+
+#: Daily groups of the small data keep every value, so there the answers are exact.
+_DAILY_SQL = """WITH v AS (
+  SELECT 'decision_events.risk_score' measure, model_version member, CAST(event_date AS VARCHAR) AS day, CAST(risk_score AS DOUBLE) x FROM decision_events
+  UNION ALL SELECT 'decision_events.model_probability', model_version, CAST(event_date AS VARCHAR), model_probability FROM decision_events
+  UNION ALL SELECT 'payment_status_counts.amount_minor', nullif(lower(trim(merchant_id, ' ')), ''), strftime(snapshot_at AT TIME ZONE 'UTC', '%Y-%m-%d'), CAST(amount_minor AS DOUBLE) FROM payment_status_counts
+  UNION ALL SELECT 'payment_events.amount_minor', nullif(lower(trim(merchant_id, ' ')), ''), CAST(event_date AS VARCHAR), CAST(amount_minor AS DOUBLE) FROM payment_events),
+r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY measure, member, day) AS n FROM v WHERE x IS NOT NULL AND NOT isnan(x) WINDOW w AS (PARTITION BY measure, member, day ORDER BY x)),
+p AS (SELECT unnest([500, 900, 990]) AS permille)
+SELECT measure, member, day, n, CAST(permille AS INTEGER) AS permille, x AS percentile, CAST(0 AS BIGINT) AS rank_error
+FROM r JOIN p ON rn = greatest(1, (permille * n + 999) // 1000)"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"p4_daily": _DAILY_SQL}
