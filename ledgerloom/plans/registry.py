@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import core_queries
+from ledgerloom.plans import core_queries, reference_queries
 
-_MODULES = [core_queries]
+_MODULES = [core_queries, reference_queries]
 
 
 def queries() -> dict[str, core_queries.Query]:
