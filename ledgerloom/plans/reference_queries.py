@@ -189,12 +189,17 @@ def _delays(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("country", ms("published_at").alias("publish_ms"), ms("decided_at").alias("decision_ms"))
 
 
+def _delay_percentiles(spark: SparkSession, d: str, value: str) -> DataFrame:
+    found = evaluate.exact_percentiles(_delays(spark, d), "country", value, (0.5, 0.95, 0.99))
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c.endswith("_cont")})
+
+
 def delay_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.exact_percentiles(_delays(spark, d), "country", "publish_ms", (0.5, 0.95, 0.99))
+    return _delay_percentiles(spark, d, "publish_ms")
 
 
 def decision_delay_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.exact_percentiles(_delays(spark, d), "country", "decision_ms", (0.5, 0.95, 0.99))
+    return _delay_percentiles(spark, d, "decision_ms")
 
 
 def delay_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +218,8 @@ def score_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.ranking(domain.labelled(spark, d))
+    found = evaluate.ranking(domain.labelled(spark, d))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
 def threshold_costs(spark: SparkSession, d: str) -> DataFrame:
@@ -292,5 +298,3 @@ QUERIES: dict[str, Query] = {
         customer_features, request_outcomes, request_fingerprints, deterministic_ids, coordinate_conflicts, retry_backoff, outbox_payloads,
     )
 }
-
-ORACLE: dict[str, str] = {}

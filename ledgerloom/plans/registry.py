@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import core_queries, reference_queries
+from ledgerloom.plans import core_queries, reference_queries, reference_sql
 
-_MODULES = [core_queries, reference_queries]
+_QUERIES = [core_queries, reference_queries]
+_ORACLES = [core_queries, reference_sql]
 
 
 def queries() -> dict[str, core_queries.Query]:
-    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+    return {name: f for module in _QUERIES for name, f in module.QUERIES.items()}
 
 
 def oracle() -> dict[str, str]:
-    return {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
+    return {name: sql for module in _ORACLES for name, sql in module.ORACLE.items()}
