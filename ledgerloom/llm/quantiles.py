@@ -229,7 +229,8 @@ def _answer(permille: Sequence[int]):
                 a, b = at[g], at[g + 1]
                 for k, p in enumerate(permille):
                     rank = max(1, -(-p * int(n[g]) // 1000))
-                    j = a + int(np.searchsorted(highs[a:b], rank))
+                    # the error falls with the least rank and rises with the greatest; they cross where the middle passes
+                    j = a + int(np.searchsorted(lows[a:b] + highs[a:b], 2 * rank))
                     near = [i for i in (j - 1, j) if a <= i < b]
                     off = [max(rank - int(lows[i]), int(highs[i]) - rank) for i in near]
                     best = int(np.argmin(off))
