@@ -24,6 +24,8 @@ from ledgerloom.session import materialize
 CAPACITY = 2048
 #: Items of one group: bounds a task's work and memory.
 GROUP_ITEMS = 10_000
+#: Up to so many groups get a task each; of more, a task gets so many.
+MANY_TASKS, GROUPS_PER_TASK = 4_000, 16
 #: A container with less unused than this share is closed at its level.
 CLOSED_SHARE = 0.004
 #: Levels at most; the last one closes what is left. 10,000 ** levels exceeds any number of items long before.
@@ -177,6 +179,8 @@ def containers(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
         final = groups == 1 or level == MAX_LEVELS - 1 or (before is not None and count > before // 2)
         before = count
         dealt = waiting.withColumn("group_id", F.pmod(F.xxhash64(F.col(key), F.col("piece"), F.lit(level)), F.lit(groups)))
+        # a group is little data but seconds of work, so the number of tasks is not left to the size of the data
+        dealt = dealt.repartition(max(1, min(groups, max(MANY_TASKS, groups // GROUPS_PER_TASK))), "group_id")
         schema = f"`{key}` {kind}, piece int, first_token bigint, n_tokens int, {_PLACED}"
         done = materialize(dealt.groupBy("group_id").applyInPandas(_place(key, capacity, level, final), schema), f"packed{level}")
         name = F.concat_ws("-", F.lit(str(level)), F.col("group_id").cast("string"), F.col("bin").cast("string"))
