@@ -91,7 +91,19 @@ def simulate(events, window):
     return out
 
 
-def test_online_features(spark, tmp_path):
+@pytest.fixture
+def one_partition(spark):
+    """A state store per partition and state is written for every batch; one partition is enough here."""
+    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_online_features(spark, tmp_path, one_partition):
     import random
 
     rng = random.Random(1)
