@@ -16,9 +16,9 @@ level is written to the shared folder, and the later levels read only that.
 
 Defined results: null texts and texts shorter than ``length`` share nothing; repeats within one text don't count, nor
 does a key that occurs in several rows count as several texts; identical texts share everything; nothing is normalised;
-characters are code points; a text of any length is taken whole; an empty table gives no spans. Windows are compared by
-64-bit hashes, mixed differently at each level: with N windows at the last level a wrong one is expected N*N / 2**65
-times (once in some hundred thousand runs for a corpus like the test data). ``words=2`` compares 128 bits there.
+characters are code points; a text of any length is taken whole; an empty table gives no spans. Windows of the last level
+are compared by two independent 64-bit hashes: with N of them, a wrong one is expected N*N / 2**129 times. At the levels
+before, a wrong repeat only keeps a candidate for longer.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ MAX_SHARDS = 1 << 16
 #: Bytes of surviving positions that may be broadcast to the scan of the texts; more are joined by shuffle.
 MAX_BROADCAST_BYTES = 48 << 20
 
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Bases of the two polynomial hashes.
+_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 #: Position of a marker: the window is known to be in two texts.
 MARKER = -1
@@ -53,38 +54,40 @@ MARKER = -1
 class Hasher:
     """Polynomial hashes of all windows of a block, from prefix sums modulo 2**64."""
 
-    def __init__(self, size: int):
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        self.power, self.inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASE, inverse))
+    def __init__(self, size: int, which: int = 0):
+        base = _BASES[which]
+        inverse = np.uint64(pow(int(base), -1, 2**64))
+        self.power, self.inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (base, inverse))
+        self.letter = _MIX[which]
 
     def prefix(self, points: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(points) + 1, np.uint64)
-        spread = (points.astype(np.uint64) + np.uint64(1)) * _MIX[0]
+        spread = (points.astype(np.uint64) + np.uint64(1)) * self.letter
         spread ^= spread >> np.uint64(29)
         spread *= self.power[: len(points)]
         np.cumsum(spread, out=sums[1:])
         return sums
 
-    def windows(self, prefix: np.ndarray, length: int, at: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
+    def windows(self, prefix: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the windows of ``length`` that begin at ``at`` (default: all that fit)."""
         if at is None:
             out = (prefix[length:] - prefix[:-length]) * self.inverse[: len(prefix) - length]
         else:
             out = (prefix[at + length] - prefix[at]) * self.inverse[at]
-        out ^= np.uint64(length + salt)
+        out ^= np.uint64(length)
         out ^= out >> np.uint64(33)
-        out *= _MIX[salt & 1]
+        out *= _MIX[0]
         out ^= out >> np.uint64(29)
         return out
 
 
-_HASHERS: dict[int, Hasher] = {}
+_HASHERS: dict[tuple[int, int], Hasher] = {}
 
 
-def hasher(size: int = BLOCK) -> Hasher:
-    if size not in _HASHERS:
-        _HASHERS[size] = Hasher(size)
-    return _HASHERS[size]
+def hasher(which: int = 0, size: int = BLOCK) -> Hasher:
+    if (which, size) not in _HASHERS:
+        _HASHERS[which, size] = Hasher(size, which)
+    return _HASHERS[which, size]
 
 
 def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -137,62 +140,67 @@ def starts_that_fit(total: int, begins: np.ndarray, length: int) -> tuple[np.nda
 
 
 class Rows:
-    """Packed rows (hash, key, position) of one task; settles what its own texts share, and packs the rest by shard."""
+    """Rows (hash, second hash, key, position) of one task; settles what its own texts share, packs the rest by shard.
+
+    Below the last level there is no second hash; then the first takes its place.
+    """
 
     def __init__(self, shards: int):
         self.shards = shards
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, hashes: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, seconds: np.ndarray | None, keys: np.ndarray, positions: np.ndarray) -> None:
         if len(hashes):
-            self.parts.append((hashes, keys, positions))
+            self.parts.append((hashes, hashes if seconds is None else seconds, keys, positions))
             self.size += len(hashes)
 
-    def pack(self) -> Iterator[pa.RecordBatch]:
-        """Batches (shard, hashes, keys, positions): rows without hashes are settled."""
+    def pack(self, with_seconds: bool) -> Iterator[pa.RecordBatch]:
+        """Batches of packed rows; those without hashes are settled."""
         if not self.parts:
             return
-        hashes, keys, positions = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        hashes, seconds, keys, positions = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        shared, heads = shared_rows(hashes, keys, positions)
+        seconds = seconds if with_seconds else hashes
+        shared, heads = shared_rows(hashes, seconds, keys, positions)
         settled = np.flatnonzero(shared)
-        own = [pack_row(-1 - int(keys[settled[0]] % self.shards), None, keys[settled], positions[settled])] if len(settled) else []
-        rest = np.flatnonzero(~shared)
-        hashes = np.concatenate([hashes[rest], hashes[heads]])
-        keys = np.concatenate([keys[rest], keys[heads]])
-        positions = np.concatenate([positions[rest], np.full(len(heads), MARKER, positions.dtype)])
+        own = [pack_row(-1 - int(keys[settled[0]] % self.shards), None, None, keys[settled], positions[settled])] if len(settled) else []
+        sent = np.concatenate([np.flatnonzero(~shared), heads])
+        hashes, seconds, keys = hashes[sent], seconds[sent], keys[sent]
+        positions = positions[sent]
+        positions[len(sent) - len(heads) :] = MARKER
         shard = (hashes >> np.uint64(40)).astype(np.int64) % self.shards
         order = np.lexsort((positions, keys, shard))
-        hashes, keys, positions, shard = hashes[order], keys[order], positions[order], shard[order]
+        hashes, seconds, keys, positions, shard = hashes[order], seconds[order], keys[order], positions[order], shard[order]
         cut = np.flatnonzero(np.diff(shard)) + 1
         bounds = np.concatenate([[0], cut, [len(shard)]])
-        rows = own + [pack_row(int(shard[a]), hashes[a:b], keys[a:b], positions[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+        rows = own + [pack_row(int(shard[a]), hashes[a:b], seconds[a:b] if with_seconds else None, keys[a:b], positions[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
         yield pa.RecordBatch.from_pylist(rows, schema=PACKED)
 
 
-PACKED = pa.schema([("shard", pa.int64()), ("hashes", pa.binary()), ("keys", pa.binary()), ("positions", pa.binary())])
-_PACKED = "shard bigint, hashes binary, keys binary, positions binary"
+PACKED = pa.schema([("shard", pa.int64()), ("hashes", pa.binary()), ("seconds", pa.binary()), ("keys", pa.binary()), ("positions", pa.binary())])
+_PACKED = "shard bigint, hashes binary, seconds binary, keys binary, positions binary"
 
 
-def pack_row(shard: int, hashes: np.ndarray | None, keys: np.ndarray, positions: np.ndarray) -> dict:
+def pack_row(shard: int, hashes: np.ndarray | None, seconds: np.ndarray | None, keys: np.ndarray, positions: np.ndarray) -> dict:
     """Keys and positions as differences, which the shuffle's compression makes small."""
     return {
-        "shard": shard, "hashes": None if hashes is None else hashes.tobytes(),
+        "shard": shard, "hashes": None if hashes is None else hashes.tobytes(), "seconds": None if seconds is None else seconds.tobytes(),
         "keys": np.diff(keys, prepend=0).astype(np.int64).tobytes(), "positions": np.diff(positions, prepend=0).astype(np.int32).tobytes(),
     }
 
 
-def unpack(row: dict) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+def unpack(row: dict) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray, np.ndarray]:
     hashes = None if row["hashes"] is None else np.frombuffer(row["hashes"], np.uint64)
-    return hashes, np.cumsum(np.frombuffer(row["keys"], np.int64)), np.cumsum(np.frombuffer(row["positions"], np.int32), dtype=np.int32)
+    seconds = hashes if row["seconds"] is None else np.frombuffer(row["seconds"], np.uint64)
+    return hashes, seconds, np.cumsum(np.frombuffer(row["keys"], np.int64)), np.cumsum(np.frombuffer(row["positions"], np.int32), dtype=np.int32)
 
 
-def shared_rows(hashes: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which rows have a hash that two keys have or that is marked, the first row of each such hash)."""
-    order = np.argsort(hashes, kind="stable")
-    sorted_hashes = hashes[order]
-    heads = np.flatnonzero(np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]]))
+def shared_rows(hashes: np.ndarray, seconds: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have hashes that two keys have or that are marked, the first row of each such pair of hashes)."""
+    order = np.lexsort((seconds, hashes)) if seconds is not hashes else np.argsort(hashes, kind="stable")
+    one, two = hashes[order], seconds[order]
+    heads = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
     by_key = keys[order]
     several = np.minimum.reduceat(by_key, heads) != np.maximum.reduceat(by_key, heads)
     several |= np.minimum.reduceat(positions[order], heads) == MARKER
@@ -212,17 +220,19 @@ def _by_key(keys: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
 
 def _survivors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of some shards to (key, starts) of those whose window is repeated."""
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for row in batch.to_pylist():
-            hashes, keys, positions = unpack(row)
+            hashes, seconds, keys, positions = unpack(row)
             if hashes is None:
                 yield _by_key(keys, positions)
             else:
-                waiting.append((hashes, keys, positions))
+                waiting.append((hashes, seconds, keys, positions))
     if waiting:
-        hashes, keys, positions = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        shared, _ = shared_rows(hashes, keys, positions)
+        single = all(s is h for h, s, _, _ in waiting)
+        hashes, seconds, keys, positions = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        seconds = hashes if single else seconds
+        shared, _ = shared_rows(hashes, seconds, keys, positions)
         shared &= positions != MARKER
         if shared.any():
             yield _by_key(keys[shared], positions[shared])
@@ -238,7 +248,7 @@ def _scan(length: int, level: int, shards: int, narrowed: bool, last: bool):
     """One level's pass over texts (key, offset, text[, starts]); the rows of the level, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing, rows = hasher(), Rows(shards)
+        hashing, other, rows = hasher(), hasher(1) if last else None, Rows(shards)
         for batch in batches:
             keys, offsets, texts = (batch.column(k).to_pylist() for k in range(3))
             alive = batch.column(3) if narrowed else None
@@ -249,18 +259,19 @@ def _scan(length: int, level: int, shards: int, narrowed: bool, last: bool):
                     starts, part = _candidates(hashing, prefix, starts, part, level // 2 if last else level, length, owner, begins, shift, alive)
                 if last:
                     chosen, part_of = starts, part
-                    hashes = hashing.windows(prefix, length, chosen, salt=1)
+                    hashes = hashing.windows(prefix, length, chosen)
+                    seconds = other.windows(other.prefix(points), length, chosen)
                 else:
                     every = hashing.windows(prefix, level)
                     minima = leftmost_minima(every, length - level + 1)[starts]
                     fresh = np.concatenate([[True], (minima[1:] != minima[:-1])]) if len(minima) else np.empty(0, bool)
                     chosen, part_of = minima[fresh], part[fresh]
-                    hashes = every[chosen]
+                    hashes, seconds = every[chosen], None
                 positions = (chosen - begins[part_of] + shift[part_of]).astype(np.int32)
-                rows.add(hashes, np.array(keys, np.int64)[owner[part_of]], positions)
+                rows.add(hashes, seconds, np.array(keys, np.int64)[owner[part_of]], positions)
             if rows.size > FLUSH_ROWS:
-                yield from rows.pack()
-        yield from rows.pack()
+                yield from rows.pack(last)
+        yield from rows.pack(last)
 
     return run
 
