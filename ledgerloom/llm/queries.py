@@ -77,4 +77,14 @@ p AS (SELECT unnest([500, 900, 990]) AS permille)
 SELECT measure, member, day, n, CAST(permille AS INTEGER) AS permille, x AS percentile, CAST(0 AS BIGINT) AS rank_error
 FROM r JOIN p ON rn = greatest(1, (permille * n + 999) // 1000)"""
 
-ORACLE: dict[str, str] = {"p4_daily": _DAILY_SQL}
+#: All windows of 200 characters, compared as texts.
+_SPANS_SQL = """WITH w AS (SELECT doc_id, i, substring(text, CAST(i + 1 AS BIGINT), 200) AS s FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+r AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER o <= 200 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN r USING (s) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+f AS (SELECT doc_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 200 AS INTEGER) AS span_end FROM g GROUP BY doc_id, run)
+"""
+_SHARES_SQL = """SELECT doc_id, length(text) AS n_chars, coalesce(k, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(k, 0) / length(text) END AS share
+FROM documents LEFT JOIN (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS k FROM f GROUP BY 1) USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"p4_daily": _DAILY_SQL, "p8_found": _SPANS_SQL + "SELECT * FROM f", "p8_shares": _SPANS_SQL + _SHARES_SQL}
