@@ -41,7 +41,7 @@ def shared_root(spark: SparkSession) -> str:
     Only a local session may go without the setting; it then gets a temporary folder. On a cluster a machine-local
     folder would be lost with its executor, so there the setting is required.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
