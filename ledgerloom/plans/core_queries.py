@@ -15,8 +15,13 @@ from ledgerloom.tables import day_text, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def portable(df: DataFrame) -> DataFrame:
-    """For comparison with other engines: instants and days as text, lists joined by ``|``."""
+def portable(df: DataFrame, nan_columns: tuple[str, ...] = ()) -> DataFrame:
+    """For comparison with other engines: instants and days as text, lists joined by ``|``.
+
+    No two engines agree on NaN, so each of ``nan_columns`` is null for it and a column ``..._is_nan`` keeps it apart.
+    """
+    for c in nan_columns:
+        df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)), f"{c}_is_nan": F.coalesce(F.isnan(c), F.lit(False))})
     forms = {"timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "date": lambda c: F.col(c).cast("string"), "array<string>": lambda c: F.array_join(c, "|")}
     return df.withColumns({c: forms[kind](c) for c, kind in df.dtypes if kind in forms})
 
@@ -59,8 +64,7 @@ def _orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         own = orphans.collect_references(table(spark, d, name), fields, key, arrived)
         every = own if every is None else every.unionByName(own)
     parents = {name: table(spark, d, name) for name in ("payments", "outbox_events")}
-    rows = {name: df.count() for name, df in parents.items()}
-    return every, orphans.find_orphans(every, parents, table(spark, d, "deleted_records"), rows)
+    return orphans.find_orphans(every, parents, table(spark, d, "deleted_records"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +115,8 @@ def p5_unique_payment_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unique_decision_events(spark: SparkSession, d: str) -> DataFrame:
-    return portable(dedup.unique_rows(table(spark, d, "decision_events"), dedup.message_key(("event_id", "decision_id"))))
+    rows = dedup.unique_rows(table(spark, d, "decision_events"), dedup.message_key(("event_id", "decision_id")))
+    return portable(rows, ("model_probability", "model_review_threshold"))
 
 
 QUERIES: dict[str, Query] = {
@@ -128,6 +133,10 @@ def _text(instant: str) -> str:
     return f"strftime({instant} AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f')"
 
 
+def _no_nan(column: str) -> str:
+    return f"CASE WHEN NOT isnan({column}) THEN {column} END AS {column}"
+
+
 _REFERENCES_SQL = """
 refs AS (
   SELECT 'payment_events' ref_table, 'payment_id' ref_field, 'payments' parent, payment_id v, delivery_id ref_key, ingested_at arrived FROM payment_events
@@ -174,5 +183,6 @@ FROM s JOIN closed USING (stream_table, h) JOIN frontier USING (stream_table) WH
     "p5_found": f"""SELECT 'payment_events' AS stream_table, delivery_id FROM (SELECT delivery_id, {_FIRSTS_SQL.format(key=_PAYMENT_KEY)} FROM payment_events) WHERE rn > 1
 UNION ALL SELECT 'decision_events', delivery_id FROM (SELECT delivery_id, {_FIRSTS_SQL.format(key=_DECISION_KEY)} FROM decision_events) WHERE rn > 1""",
     "p5_unique_payment_events": f"SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, {_text('created_at')} AS created_at) FROM (SELECT *, {_FIRSTS_SQL.format(key=_PAYMENT_KEY)} FROM payment_events) WHERE rn = 1",
-    "p5_unique_decision_events": f"SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, {_text('decision_at')} AS decision_at, array_to_string(reason_codes, '|') AS reason_codes) FROM (SELECT *, {_FIRSTS_SQL.format(key=_DECISION_KEY)} FROM decision_events) WHERE rn = 1",
+    "p5_unique_decision_events": f"""SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, {_text('decision_at')} AS decision_at, array_to_string(reason_codes, '|') AS reason_codes, {_no_nan('model_probability')}, {_no_nan('model_review_threshold')}),
+  coalesce(isnan(model_probability), false) AS model_probability_is_nan, coalesce(isnan(model_review_threshold), false) AS model_review_threshold_is_nan FROM (SELECT *, {_FIRSTS_SQL.format(key=_DECISION_KEY)} FROM decision_events) WHERE rn = 1""",
 }

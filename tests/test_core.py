@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from ledgerloom.commits import AlreadyCommitted
 from ledgerloom.operators import bloom, dedup, lateness, orphans
 from ledgerloom.operators.orphans import Reference
 from ledgerloom.plans import registry
@@ -25,8 +26,8 @@ def orphans_of(spark, refs, parents, gone):
     parent = spark.createDataFrame(parents, "id string, loaded_at timestamp")
     deleted = spark.createDataFrame(gone, "table_name string, record_id string, deleted_at timestamp, restored_at timestamp")
     found = orphans.collect_references(child, [Reference("child", "ref", "p")], "k", "arrived")
-    out = orphans.find_orphans(found, {"p": parent}, deleted, {"p": len(parents)})
-    return sorted(r.ref_key for r in out.collect()), orphans.count_by_day(found, out)
+    every, out = orphans.find_orphans(found, {"p": parent}, deleted)
+    return sorted(r.ref_key for r in out.collect()), orphans.count_by_day(every, out)
 
 
 def test_orphans_as_of_the_end_of_the_day(spark):
@@ -59,14 +60,17 @@ def test_a_hot_reference(spark):
     assert found == [k for k in range(3000) if k % 3]
 
 
-def test_bloom_never_drops(spark):
-    keys = spark.range(5000).selectExpr("concat('k', id) AS key")
-    blocks = bloom.blocks_for(5000)
-    built = bloom.build(keys, "key", blocks)
-    assert built.count() <= blocks
-    assert bloom.test(keys, "key", built, blocks, "maybe").filter("not maybe").count() == 0
-    others = spark.range(5000, 15000).selectExpr("concat('k', id) AS key")
-    assert bloom.test(others, "key", built, blocks, "maybe").filter("maybe").count() < 600
+@pytest.mark.parametrize("limit", [bloom.MAX_BROADCAST_BYTES, 2 * bloom.BLOCK_BYTES])
+def test_bloom_never_drops(spark, monkeypatch, limit):
+    monkeypatch.setattr(bloom, "MAX_BROADCAST_BYTES", limit)
+    keys = spark.range(20_000).selectExpr("if(id % 4 = 0, 'a', 'b') AS part", "concat('k', id) AS key")
+    built = bloom.build(keys.unionByName(spark.createDataFrame([("b", None), ("c", "x")], "part string, key string")), {"a": 5_000, "b": 15_000, "empty": 0})
+    assert built.blocks == 2 + 5 + 1 and {len(r.words) for r in built.table.collect()} == {bloom.WORDS}
+    assert bloom.test(keys, "part", "key", built, "maybe").filter("not maybe").count() == 0
+    others = spark.range(20_000).selectExpr("if(id % 4 = 0, 'b', 'a') AS part", "concat('k', id) AS key")
+    assert bloom.test(others, "part", "key", built, "maybe").filter("maybe").count() < 20_000 * 0.05
+    strange = spark.createDataFrame([("empty", "k1"), ("c", "x"), ("a", None), (None, "k0")], "part string, key string")
+    assert bloom.test(strange, "part", "key", built, "maybe").filter("maybe").count() == 0
 
 
 STREAM = "delivery_id bigint, occurred_at timestamp, kafka_timestamp timestamp, amount bigint, source_topic string, source_partition int"
@@ -134,33 +138,85 @@ def test_message_keys_and_redundant_rows(spark):
     assert dedup.redundant_rows(frame.limit(0), key).count() == 0
 
 
-def test_batches_share_what_was_seen(spark, tmp_path):
+def test_repeats_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "MAX_BROADCAST_BYTES", 0)
+    rows = [(k, "hot" if k % 3 == 0 else f"e{k // 2}", None, "t", 0, k, 1) for k in range(300)]
+    key = dedup.message_key(("event_id", "decision_id"))
+    first, want = {}, []
+    for k, e, *_ in rows:
+        want += [k] if e in first else []
+        first.setdefault(e, k)
+    frame = spark.createDataFrame(rows, MESSAGES)
+    assert sorted(r.delivery_id for r in dedup.redundant_rows(frame, key).collect()) == want
+    assert dedup.unique_rows(frame, key).count() == len(first)
+
+
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, "arrival bigint, key string")
+
+
+def kept_of(store, rows):
+    return sorted(r.arrival for r in store.select(batch_of(store.spark, rows)).collect())
+
+
+def test_batches_share_what_was_seen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "COMPACT_EVERY", 3)
     store = dedup.SeenStore(spark, f"file://{tmp_path}/seen", 8)
-    batches = [[(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")], [], [(6, "c"), (7, "d"), (8, "d")]]
-    kept = []
-    for batch in batches:
-        arrivals = spark.createDataFrame(batch, "arrival bigint, key string")
-        kept += sorted(r.arrival for r in store.apply(arrivals).collect())
-    assert kept == [1, 2, 5, 7] and store.versions() == [1, 2, 3, 4]
+    batches = [[(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")], [], [(6, "c"), (7, "d"), (8, "d"), (9, None)], [(10, "d")]]
+    kept = [k for batch in batches for k in kept_of(store, batch)]
+    assert kept == [1, 2, 5, 7] and store.versions() == [1, 2, 3, 4, 5]
     codes = store.dictionary().collect()
     assert len(codes) == 4 and len({(r.shard, r.code) for r in codes}) == 4
+    # versions 1 to 3 became one folder, and what it replaced is gone
+    assert len(store.state()["folders"]) == 1 and len(list((tmp_path / "seen" / "data").iterdir())) <= 1 + dedup.COMPACT_EVERY
+
+
+def test_the_number_of_shards_belongs_to_the_state(spark, tmp_path):
+    path, ids = f"file://{tmp_path}/seen", [(k, f"id{k}") for k in range(200)]
+    assert len(kept_of(dedup.SeenStore(spark, path, 8), ids)) == 200
+    with pytest.raises(ValueError, match="8 shards"):
+        kept_of(dedup.SeenStore(spark, path, 16), ids)
+    assert kept_of(dedup.SeenStore(spark, path), ids) == []
+
+
+def test_of_two_runs_one_commits(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/seen"
+    slow, fast = dedup.SeenStore(spark, path, 8), dedup.SeenStore(spark, path, 8)
+    mine, other = [(k, f"b{k}") for k in range(100)], [(k, f"a{k}") for k in range(100)]
+    encode = dedup.SeenStore._encode
+
+    def overtaken(self, firsts, state):
+        if self is slow:
+            monkeypatch.setattr(dedup.SeenStore, "_encode", encode)
+            assert len(kept_of(fast, other)) == 100
+        return encode(self, firsts, state)
+
+    monkeypatch.setattr(dedup.SeenStore, "_encode", overtaken)
+    with pytest.raises(AlreadyCommitted):
+        slow.apply(batch_of(spark, mine))
+    # nothing of the lost run is left: no code has two ids, and its messages are still new
+    codes = slow.dictionary().collect()
+    assert len(codes) == 100 and len({(r.shard, r.code) for r in codes}) == 100
+    assert len(kept_of(slow, mine)) == 100 and kept_of(fast, mine + other) == []
 
 
 def test_a_batch_that_died_before_its_commit_is_repeated(spark, tmp_path, monkeypatch):
     store = dedup.SeenStore(spark, f"file://{tmp_path}/seen", 8)
-    arrivals = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "arrival bigint, key string")
-    broken = type("Broken", (), {"rename": lambda *_: False, "__getattr__": lambda self, n: getattr(dedup.SeenStore._fs(store), n)})()
+
+    def dies(*_):
+        raise OSError("lost")
+
     with monkeypatch.context() as m:
-        m.setattr(store, "_fs", lambda: broken)
-        with pytest.raises(RuntimeError):
-            store.apply(arrivals)
+        m.setattr(store.log, "commit", dies)
+        with pytest.raises(OSError):
+            store.apply(batch_of(spark, [(1, "a"), (2, "a"), (3, "b")]))
     assert store.versions() == []
-    assert sorted(r.arrival for r in store.apply(arrivals).collect()) == [1, 3]
+    assert kept_of(store, [(1, "a"), (2, "a"), (3, "b")]) == [1, 3]
 
 
 def cell(value):
     if value is None or value != value:
-        return "~"
+        return "~" if value is None else "NaN"
     return f"{value:.9g}" if isinstance(value, float) and not value.is_integer() else str(int(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
 
