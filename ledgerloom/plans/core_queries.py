@@ -83,20 +83,28 @@ def _streams(spark: SparkSession, d: str) -> DataFrame:
     return payments.unionByName(decisions)
 
 
-def _punctuations(rows: DataFrame) -> DataFrame:
-    # written once: it is read for its size, for diverting and for the closings
-    return materialize(lateness.punctuations(rows), "punctuations")
+def _clocks(rows: DataFrame) -> DataFrame:
+    # written once: the closings are asked for their size and then joined
+    return materialize(lateness.source_clocks(rows), "clocks")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _streams(spark, d)
-    return lateness.mark_diverted(rows, _punctuations(rows)).filter("diverted").select("stream_table", "delivery_id")
+    return lateness.mark_diverted(rows, lateness.closings(_clocks(rows))).filter("diverted").select("stream_table", "delivery_id")
 
 
 def p3_hourly(spark: SparkSession, d: str) -> DataFrame:
     rows = _streams(spark, d)
-    marks = _punctuations(rows)
-    return portable(lateness.hourly(lateness.mark_diverted(rows, marks), lateness.closings(marks, rows)))
+    clocks = _clocks(rows)
+    closed = materialize(lateness.closings(clocks), "closings")
+    return portable(lateness.hourly(lateness.hourly_deltas(lateness.mark_diverted(rows, closed)), closed, clocks))
+
+
+def p3_after_close(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that came after all sources had closed their period, or after the time-out."""
+    rows = _streams(spark, d)
+    marked = lateness.mark_diverted(rows, lateness.closings(_clocks(rows)), exact=False)
+    return marked.filter("diverted").select("stream_table", "delivery_id")
 
 
 def _repeated(spark: SparkSession, d: str, name: str, ids: tuple[str, ...]) -> DataFrame:
@@ -123,7 +131,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_quarantine, p1_invalid_values, p1_payment_envelopes, p1_decision_envelopes, p2_found, p2_by_day,
-        p3_found, p3_hourly, p5_found, p5_unique_payment_events, p5_unique_decision_events,
+        p3_found, p3_hourly, p3_after_close, p5_found, p5_unique_payment_events, p5_unique_decision_events,
     )
 }
 
@@ -160,6 +168,13 @@ raw AS (
   UNION ALL SELECT 'decision_events', delivery_id, epoch_us(decision_at), epoch_us(kafka_timestamp), risk_score, source_topic, source_partition FROM decision_events),
 s AS (SELECT *, CAST(floor(e / 3600000000) AS BIGINT) h, coalesce(k > (CAST(floor(e / 3600000000) AS BIGINT) + 7) * 3600000000, false) late FROM raw)
 """
+#: When each period was closed, from all pairs of its sources and periods.
+_CLOSED_SQL = """
+sources AS (SELECT DISTINCT stream_table, t, p FROM s WHERE k IS NOT NULL), bounds AS (SELECT DISTINCT stream_table, h FROM s WHERE h IS NOT NULL),
+passed AS (SELECT b.stream_table, b.h, o.t, o.p, min(s.k) k FROM bounds b JOIN sources o USING (stream_table)
+  LEFT JOIN s ON s.stream_table = b.stream_table AND s.t = o.t AND s.p = o.p AND s.k > (b.h + 7) * 3600000000 GROUP BY ALL),
+closed AS (SELECT stream_table, h, max(least(coalesce(k, (h + 9) * 3600000000), (h + 9) * 3600000000)) c FROM passed GROUP BY ALL),
+frontier AS (SELECT stream_table, max(k) f FROM s GROUP BY ALL)"""
 _FIRSTS_SQL = "row_number() OVER (PARTITION BY {key} ORDER BY delivery_id) AS rn"
 _REPLACE = "occurred_at, kafka_timestamp, ingested_at".split(", ")
 _AS_MICROS = ", ".join(f"{_text(c)} AS {c}" for c in _REPLACE) + ", CAST(event_date AS VARCHAR) AS event_date"
@@ -170,16 +185,12 @@ ORACLE: dict[str, str] = {
     "p2_found": f"WITH {_REFERENCES_SQL} SELECT ref_table, ref_field, ref_key, {_DAY} AS ref_day FROM judged WHERE dangles",
     "p2_by_day": f"WITH {_REFERENCES_SQL} SELECT ref_table, ref_field, {_DAY} AS ref_day, count(*) AS n_references, count(*) FILTER (dangles) AS n_dangling FROM judged GROUP BY ALL",
     "p3_found": f"WITH {_STREAMS_SQL} SELECT stream_table, delivery_id FROM s WHERE late",
-    "p3_hourly": f"""WITH {_STREAMS_SQL},
-sources AS (SELECT DISTINCT stream_table, t, p FROM s), bounds AS (SELECT DISTINCT stream_table, h FROM s WHERE h IS NOT NULL),
-passed AS (SELECT b.stream_table, b.h, o.t, o.p, min(s.k) k FROM bounds b JOIN sources o USING (stream_table)
-  LEFT JOIN s ON s.stream_table = b.stream_table AND s.t = o.t AND s.p = o.p AND s.k > (b.h + 7) * 3600000000 GROUP BY ALL),
-closed AS (SELECT stream_table, h, max(least(coalesce(k, (h + 9) * 3600000000), (h + 9) * 3600000000)) c FROM passed GROUP BY ALL),
-frontier AS (SELECT stream_table, max(k) f FROM s GROUP BY ALL)
+    "p3_hourly": f"""WITH {_STREAMS_SQL}, {_CLOSED_SQL}
 SELECT s.stream_table, {_text('make_timestamptz(s.h * 3600000000)')} AS event_hour, count(*) FILTER (NOT late) AS n_rows, CAST(sum(val) FILTER (NOT late) AS BIGINT) AS value_sum,
-  count(*) FILTER (NOT late AND k >= (s.h + 1) * 3600000000) AS n_corrections, count(*) FILTER (late) AS n_diverted,
+  count(*) FILTER (NOT late AND k >= (s.h + 1) * 3600000000) AS n_corrections, count(*) FILTER (late) AS n_diverted, count(*) FILTER (k >= c) AS n_after_close,
   {_text('make_timestamptz(any_value(c))')} AS closed_at, any_value(c) <= any_value(f) AS is_final
 FROM s JOIN closed USING (stream_table, h) JOIN frontier USING (stream_table) WHERE s.h IS NOT NULL GROUP BY s.stream_table, s.h""",
+    "p3_after_close": f"WITH {_STREAMS_SQL}, {_CLOSED_SQL} SELECT stream_table, delivery_id FROM s JOIN closed USING (stream_table, h) WHERE k >= c",
     "p5_found": f"""SELECT 'payment_events' AS stream_table, delivery_id FROM (SELECT delivery_id, {_FIRSTS_SQL.format(key=_PAYMENT_KEY)} FROM payment_events) WHERE rn > 1
 UNION ALL SELECT 'decision_events', delivery_id FROM (SELECT delivery_id, {_FIRSTS_SQL.format(key=_DECISION_KEY)} FROM decision_events) WHERE rn > 1""",
     "p5_unique_payment_events": f"SELECT * EXCLUDE (rn) REPLACE ({_AS_MICROS}, {_text('created_at')} AS created_at) FROM (SELECT *, {_FIRSTS_SQL.format(key=_PAYMENT_KEY)} FROM payment_events) WHERE rn = 1",

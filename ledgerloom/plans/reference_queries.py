@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import hashing
 from ledgerloom.functions import text as X
+from ledgerloom.functions.profiles import DECISIONS_TOPIC, PAYMENTS_TOPIC
 from ledgerloom.functions.rules import error_codes
 from ledgerloom.operators import curate, evaluate, features, metrics, reconcile, snapshot
+from ledgerloom.operators.rejects import read_contracts
 from ledgerloom.plans import domain
 from ledgerloom.plans.core_queries import Query, portable
 from ledgerloom.tables import clean_id, table
@@ -21,16 +23,20 @@ def _at(text: str) -> Column:
 # --- contracts and curation -------------------------------------------------------------------------------------------
 
 
+def _curated(spark: SparkSession, d: str) -> curate.Curated:
+    return curate.curate(table(spark, d, "broker_records"), read_contracts(table(spark, d, "contract_fields")))
+
+
 def lake_payments(spark: SparkSession, d: str) -> DataFrame:
-    return portable(curate.curate(table(spark, d, "broker_records")).payments.drop("ingested_at"))
+    return portable(_curated(spark, d).valid(PAYMENTS_TOPIC).drop("ingested_at"))
 
 
 def lake_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return portable(curate.curate(table(spark, d, "broker_records")).decisions.drop("ingested_at"))
+    return portable(_curated(spark, d).valid(DECISIONS_TOPIC).drop("ingested_at"))
 
 
 def lake_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return portable(curate.curate(table(spark, d, "broker_records")).quarantine.drop("quarantined_at"))
+    return portable(_curated(spark, d).quarantine().drop("quarantined_at"))
 
 
 def decision_violations(spark: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from ledgerloom.operators.curate import normalize_records
+from ledgerloom.operators.curate import from_kafka
 
 #: The five columns of a broker record.
 RECORD_SCHEMA = "source_topic string, source_partition int, source_offset bigint, kafka_timestamp timestamp, raw_value string"
@@ -14,12 +15,12 @@ def kafka_stream(spark: SparkSession, brokers: str, topics: list[str], starting:
     """The topics' records from the start (or end) of the log; fails rather than skip lost data. Needs Spark's Kafka connector."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", ",".join(topics))
     reader = reader.option("startingOffsets", starting).option("failOnDataLoss", "true").option("maxOffsetsPerTrigger", per_trigger)
-    return normalize_records(reader.load())
+    return from_kafka(reader.load())
 
 
-def replayed_stream(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, files_per_trigger: int | None = None) -> DataFrame:
+def replayed_stream(spark: SparkSession, path: str, schema: str | StructType = RECORD_SCHEMA, files_per_trigger: int | None = None, **options: str) -> DataFrame:
     """A folder of Parquet files as a stream, in place of a broker; the schema is given, never inferred."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).options(**options)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)

@@ -1,46 +1,55 @@
-"""Hourly aggregates by event time as a stream: every micro-batch appends deltas, late rows go to a folder of their own.
+"""Hourly aggregates by event time as a stream: every micro-batch appends deltas, late rows go to a table of their own.
 
-Counts, sums and source clocks are additive (or take the least), so nothing is kept in executor memory between batches:
-a batch writes its own folder, a retry replaces it, and the current state is the merge of all folders. Closings follow
-from the merged clocks exactly as in the batch operator.
+A batch's clocks are merged with those of the batches before it; the closings that follow route the batch's rows, exactly
+as in the batch operator. Counts, sums and clocks are additive (or take the least), so nothing is kept in executor
+memory between batches, and a batch becomes visible as a whole.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators import lateness
+from ledgerloom.session import materialize
 from ledgerloom.streaming import sinks
-from ledgerloom.tables import MICROS_PER_HOUR, hour_instant
 
+_SUMS = ("n_rows", "n_corrections", "n_diverted", "n_after_close")
+
+
+def _merge_deltas(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("stream_table", "hour").agg(*[F.sum(c).alias(c) for c in _SUMS], F.try_sum("value_sum").alias("value_sum"))
+
+
+def hourly_log(spark: SparkSession, root: str) -> sinks.BatchLog:
+    """Its tables: deltas, clocks, late."""
+    return sinks.BatchLog(spark, root, {"deltas": _merge_deltas, "clocks": lateness.merge_clocks})
 
-def start_hourly(rows: DataFrame, root: str, checkpoint_path: str, cutoff_hours: int = lateness.CUTOFF_HOURS, trigger_interval: str | None = None, available_now: bool = False) -> StreamingQuery:
+
+def _route(log: sinks.BatchLog, cutoff_hours: int, idle_hours: int, exact: bool, batch: DataFrame, batch_id: int) -> None:
+    own, known = lateness.source_clocks(batch), log.read("clocks")
+    clocks = own if known is None else lateness.merge_clocks(known.unionByName(own))
+    closed = materialize(lateness.closings(materialize(clocks, "clocks"), cutoff_hours, idle_hours), "closings")
+    marked = lateness.mark_diverted(batch, closed, cutoff_hours, idle_hours, exact)
+    late = marked.filter("diverted").select("stream_table", "delivery_id", "hour", "broker", "after_close")
+    log.write(batch_id, {"deltas": lateness.hourly_deltas(marked), "clocks": own, "late": late})
+
+
+def start_hourly(
+    rows: DataFrame, root: str, checkpoint: str, cutoff_hours: int = lateness.CUTOFF_HOURS, idle_hours: int = lateness.IDLE_HOURS, exact: bool = True, **schedule: object
+) -> StreamingQuery:
     """``rows`` as of ``lateness.stream_rows``."""
+    each = partial(_route, hourly_log(rows.sparkSession, root), cutoff_hours, idle_hours, exact)
+    return sinks.start_batches(rows, each, checkpoint, "hourly", **schedule)
+
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        late = F.coalesce(F.col("tick") >= lateness.bound_of(F.col("hour"), cutoff_hours), F.lit(False))
-        after = F.coalesce(F.col("broker") >= (F.col("hour") + 1) * F.lit(MICROS_PER_HOUR), F.lit(False))
-        counts = batch.filter(F.col("hour").isNotNull()).groupBy("stream_table", "hour").agg(
-            F.count_if(~late).alias("n_rows"), F.try_sum(F.when(~late, F.col("value"))).alias("value_sum"), F.count_if(~late & after).alias("n_corrections"), F.count_if(late).alias("n_diverted")
-        )
-        sinks.write_batch(counts, f"{root}/counts", batch_id)
-        sinks.write_batch(lateness.source_clocks(batch), f"{root}/clocks", batch_id)
-        sinks.write_batch(batch.groupBy("stream_table").agg(F.max("broker").alias("broker")), f"{root}/frontier", batch_id)
-        sinks.write_batch(batch.filter(late).select("stream_table", "delivery_id", "hour", "broker"), f"{root}/late", batch_id)
-
-    return sinks.start_batches(rows, each, checkpoint_path=checkpoint_path, query_name="hourly", trigger_interval=trigger_interval, available_now=available_now)
-
-
-def read_hourly(spark: SparkSession, root: str, cutoff_hours: int = lateness.CUTOFF_HOURS, idle_hours: int = lateness.IDLE_HOURS) -> DataFrame:
-    """The aggregates as corrected so far, in the form of ``lateness.hourly``."""
-    counts = spark.read.parquet(f"{root}/counts").groupBy("stream_table", "hour").agg(
-        F.sum("n_rows").alias("n_rows"), F.try_sum("value_sum").alias("value_sum"), F.sum("n_corrections").alias("n_corrections"), F.sum("n_diverted").alias("n_diverted")
-    )
-    clocks = spark.read.parquet(f"{root}/clocks").groupBy("stream_table", "source", "tick").agg(F.min("first").alias("broker"))
-    asked = counts.select("stream_table", F.lit(None).cast(clocks.schema["source"].dataType).alias("source"), F.lit(None).cast("bigint").alias("tick"), F.lit(None).cast("bigint").alias("broker"), "hour")
-    marks = lateness.punctuations(clocks.withColumn("hour", F.lit(None).cast("bigint")).unionByName(asked), cutoff_hours)
-    closed = lateness.closings(marks, spark.read.parquet(f"{root}/frontier"), cutoff_hours, idle_hours)
-    full = counts.join(closed, ["stream_table", "hour"], "left")
-    return full.select("stream_table", hour_instant(F.col("hour")).alias("event_hour"), "n_rows", "value_sum", "n_corrections", "n_diverted", F.timestamp_micros("closed").alias("closed_at"), F.coalesce("is_final", F.lit(False)).alias("is_final"))
+def read_hourly(spark: SparkSession, root: str, cutoff_hours: int = lateness.CUTOFF_HOURS, idle_hours: int = lateness.IDLE_HOURS) -> DataFrame | None:
+    """The aggregates as corrected so far, in the form of ``lateness.hourly``; null before the first batch."""
+    log = hourly_log(spark, root)
+    deltas, clocks = log.read("deltas"), log.read("clocks")
+    if deltas is None or clocks is None:
+        return None
+    return lateness.hourly(deltas, lateness.closings(clocks, cutoff_hours, idle_hours), clocks, cutoff_hours, idle_hours)

@@ -1,11 +1,16 @@
 """Features of events as they arrive, in keyed state: velocity, first use of a device, first country.
 
-State is by customer and bounded: recent payments are pruned to the window, devices and cached answers expire. An event
-that was seen before gets its cached answer and changes nothing. Rows of a micro-batch are taken in the order of ``seq``.
+A customer's state is one value: the recent payments in order of time, the devices, the first country and the last event.
+It is read and written once per micro-batch, whatever the number of events, and each event costs a binary search. All of
+it expires together: an event that comes more than the time to live after the customer's last one finds nothing, and
+every event renews all of it; the store drops what no event renews. An event that was seen before gets its cached
+answer and changes nothing. Rows of a micro-batch are taken in the order of ``seq``; a customer's share of a micro-batch
+is held in memory, which the source's limit of rows per trigger bounds.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +20,40 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 WINDOW_MS = 300_000
 TTL_MS = 2_592_000_000
 OUTPUT = "customer_id string, event_id string, velocity int, new_device boolean, cross_border boolean, baseline_country string"
+#: The session setting that the keyed state needs.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class Customer:
+    """What is known of one customer."""
+
+    def __init__(self, last: int | None = None, home: str | None = None, payments: list[str] = (), instants: list[int] = (), devices: list[str] = ()):
+        self.last, self.home = last, home
+        self.at = dict(zip(payments, instants, strict=True))
+        self.line = sorted(zip(instants, payments, strict=True))
+        self.devices = dict.fromkeys(devices)
+
+    def stored(self) -> tuple:
+        return self.last, self.home, [p for _, p in self.line], [ms for ms, _ in self.line], list(self.devices)
+
+    def observe(self, payment: str, device: str, country: str, ms: int, window_ms: int, ttl_ms: int) -> tuple:
+        """(velocity, new_device, cross_border, baseline_country) of an event; the event counts itself."""
+        if self.last is not None and ms - self.last > ttl_ms:
+            self.__init__()
+        if self.last is None:
+            self.home = country
+        self.last = ms if self.last is None else max(self.last, ms)
+        for _, outdated in self.line[: bisect_left(self.line, (ms - window_ms,))]:
+            del self.at[outdated]
+        del self.line[: bisect_left(self.line, (ms - window_ms,))]
+        if payment in self.at:
+            self.line.pop(bisect_left(self.line, (self.at[payment], payment)))
+        self.at[payment] = ms
+        insort(self.line, (ms, payment))
+        velocity = bisect_right(self.line, ms, key=lambda entry: entry[0])
+        fresh = device not in self.devices
+        self.devices[device] = None
+        return velocity, fresh, self.home != country, self.home
 
 
 class CustomerFeatures(StatefulProcessor):
@@ -24,34 +63,26 @@ class CustomerFeatures(StatefulProcessor):
         self.window_ms, self.ttl_ms = window_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getMapState("recent", "payment_id string", "ms bigint", self.ttl_ms)
-        self.devices = handle.getMapState("devices", "device_id string", "seen boolean", self.ttl_ms)
-        self.home = handle.getValueState("home", "country string", self.ttl_ms)
+        self.customer = handle.getValueState("customer", "last bigint, home string, payments array<string>, instants array<bigint>, devices array<string>", self.ttl_ms)
         self.answers = handle.getMapState("answers", "event_id string", "velocity int, new_device boolean, cross_border boolean, baseline_country string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         events = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = [(key[0], e.event_id, *self.observe(e)) for e in events.itertuples(index=False)]
+        known = Customer(*self.customer.get()) if self.customer.exists() else Customer()
+        out, fresh = [], {}
+        for e in events.itertuples(index=False):
+            answer = fresh.get(e.event_id)
+            if answer is None and self.answers.containsKey((e.event_id,)):
+                answer = tuple(self.answers.getValue((e.event_id,)))
+            if answer is None:
+                answer = fresh[e.event_id] = known.observe(e.payment_id, e.device_id, e.country, int(e.ms), self.window_ms, self.ttl_ms)
+            out.append((key[0], e.event_id, *answer))
+        for event_id, answer in fresh.items():
+            self.answers.updateValue((event_id,), answer)
+        if fresh:
+            self.customer.update(known.stored())
         yield pd.DataFrame(out, columns=["customer_id", "event_id", "velocity", "new_device", "cross_border", "baseline_country"])
 
-    def observe(self, event) -> tuple:
-        if self.answers.containsKey((event.event_id,)):
-            return tuple(self.answers.getValue((event.event_id,)))
-        now = int(event.ms)
-        for (payment,), (ms,) in list(self.recent.iterator()):
-            if ms < now - self.window_ms:
-                self.recent.removeKey((payment,))
-        self.recent.updateValue((event.payment_id,), (now,))
-        velocity = sum(1 for _, (ms,) in self.recent.iterator() if now - self.window_ms <= ms <= now)
-        fresh = not self.devices.containsKey((event.device_id,))
-        self.devices.updateValue((event.device_id,), (True,))
-        if not self.home.exists():
-            self.home.update((event.country,))
-        home = self.home.get()[0]
-        answer = (velocity, fresh, home != event.country, home)
-        self.answers.updateValue((event.event_id,), answer)
-        return answer
-
     def close(self) -> None:
         pass
 
@@ -59,7 +90,3 @@ class CustomerFeatures(StatefulProcessor):
 def online_features(events: DataFrame, window_ms: int = WINDOW_MS, ttl_ms: int = TTL_MS) -> DataFrame:
     """The features of a stream of events; needs the RocksDB state store."""
     return events.groupBy("customer_id").transformWithStateInPandas(CustomerFeatures(window_ms, ttl_ms), OUTPUT, "Append", "ProcessingTime")
-
-
-#: The session setting that the keyed state needs.
-STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import signal
 import threading
 from collections.abc import Sequence
@@ -28,12 +29,25 @@ def supervise(queries: Sequence[StreamingQuery], poll_s: float = 1.0, stop: thre
     return code
 
 
-def lag(query: StreamingQuery) -> list[dict[str, str | None]]:
-    """What the sources of a query had left at its last progress, by source."""
+def _offsets(value: object) -> dict[tuple[str, str], int]:
+    """Offsets by topic and partition, from the JSON that Spark reports; none for sources that have no such offsets."""
+    try:
+        parsed = json.loads(value) if isinstance(value, str) else value
+        return {(topic, p): int(o) for topic, parts in parsed.items() for p, o in parts.items()}
+    except (ValueError, TypeError, AttributeError):
+        return {}
+
+
+def lag(query: StreamingQuery) -> list[dict[str, object]]:
+    """(source, topic, partition, lag) as of a query's last progress: records of the broker that it has not taken yet.
+
+    Never below zero: the end may be newer than the broker's last answer. Sources without broker offsets give no rows.
+    """
     progress = query.lastProgress
     sources = progress["sources"] if isinstance(progress, dict) else (progress.sources if progress else [])
     out = []
     for s in sources:
         get = s.get if isinstance(s, dict) else lambda k, s=s: getattr(s, k, None)
-        out.append({"source": get("description"), "end": get("endOffset"), "latest": get("latestOffset")})
+        end, latest = _offsets(get("endOffset")), _offsets(get("latestOffset"))
+        out += [{"source": get("description"), "topic": t, "partition": int(p), "lag": max(0, latest[t, p] - end.get((t, p), 0))} for t, p in sorted(latest)]
     return out

@@ -80,6 +80,11 @@ def hours(x: float) -> datetime:
     return DAY0 + timedelta(hours=x)
 
 
+def closings_of(stream):
+    clocks = lateness.source_clocks(stream)
+    return lateness.closings(clocks), clocks
+
+
 def test_late_rows_and_closings(spark):
     second = 1 / 3600
     rows = [
@@ -94,10 +99,10 @@ def test_late_rows_and_closings(spark):
     ]
     frame = spark.createDataFrame(rows, STREAM).selectExpr("*", "1 AS hour", "2 AS tick")
     stream = lateness.stream_rows(frame, "s", "occurred_at", "amount")
-    marks = lateness.punctuations(stream)
-    marked = lateness.mark_diverted(stream, marks)
+    closed, clocks = closings_of(stream)
+    marked = lateness.mark_diverted(stream, closed)
     assert sorted(r.delivery_id for r in marked.filter("diverted").collect()) == [3, 6, 7, 7]
-    by_hour = {r.event_hour.isoformat(): r for r in lateness.hourly(marked, lateness.closings(marks, stream)).collect()}
+    by_hour = {r.event_hour.isoformat(): r for r in lateness.hourly(lateness.hourly_deltas(marked), closed, clocks).collect()}
     first = by_hour["2024-01-01T00:00:00"]
     assert (first.n_rows, first.value_sum, first.n_corrections, first.n_diverted, first.is_final) == (3, 35, 1, 1, True)
     assert by_hour["2024-01-01T03:00:00"].value_sum is None or by_hour["2024-01-01T03:00:00"].value_sum == 2**63
@@ -108,17 +113,48 @@ def test_late_rows_and_closings(spark):
 def test_a_period_waits_for_every_source_but_not_for_idle_ones(spark):
     rows = [(1, hours(0.5), hours(0.5), 1, "t", 0), (2, hours(9), hours(7.2), 1, "t", 0), (3, hours(9), hours(8.5), 1, "t", 1), (4, hours(9), hours(30), 1, "t", 0)]
     stream = lateness.stream_rows(spark.createDataFrame(rows, STREAM), "s", "occurred_at", "amount")
-    closed = {r.hour: r.closed for r in lateness.closings(lateness.punctuations(stream), stream).collect()}
-    start = int(DAY0.timestamp()) // 3600
-    micros = lambda h: int(hours(h).timestamp()) * 1_000_000
-    assert closed[start] == micros(8.5)  # source 1 is the last to pass hour 7
-    assert closed[start + 9] == micros(18)  # both silent for two hours after hour 16
+    closed, clocks = closings_of(stream)
+    marked = lateness.mark_diverted(stream, closed)
+    found = {r.event_hour.isoformat(): r.closed_at.isoformat() for r in lateness.hourly(lateness.hourly_deltas(marked), closed, clocks).collect()}
+    assert found["2024-01-01T00:00:00"] == "2024-01-01T08:30:00"  # source 1 is the last to pass hour 7
+    assert found["2024-01-01T09:00:00"] == "2024-01-01T18:00:00"  # both silent for two hours after hour 16
+
+
+def test_the_closing_decides_what_is_diverted_and_the_exact_check_what_lies_between(spark):
+    """Row 3 lies beyond the bound of its hour, but source 1 still holds the hour open; only row 5 comes after the closing."""
+    rows = [
+        (1, hours(0.5), hours(0.5), 1, "t", 0), (2, hours(7), hours(7.1), 1, "t", 0), (3, hours(0.5), hours(7.2), 10, "t", 0),
+        (4, hours(7), hours(7.5), 1, "t", 1), (5, hours(0.5), hours(7.6), 100, "t", 0), (6, hours(0.4), hours(1), 1000, "t", 1),
+    ]
+    stream = lateness.stream_rows(spark.createDataFrame(rows, STREAM), "s", "occurred_at", "amount")
+    closed, clocks = closings_of(stream)
+    diverted = lambda **how: sorted(r.delivery_id for r in lateness.mark_diverted(stream, closed, **how).filter("diverted").collect())
+    assert diverted(exact=False) == [5] and diverted(exact=True) == [3, 5]
+    hour = {r.event_hour.isoformat(): r for r in lateness.hourly(lateness.hourly_deltas(lateness.mark_diverted(stream, closed)), closed, clocks).collect()}["2024-01-01T00:00:00"]
+    assert (hour.value_sum, hour.n_diverted, hour.n_after_close, hour.closed_at.isoformat()) == (1001, 2, 1, "2024-01-01T07:30:00")
+    # without punctuations nothing is closed before the time-out
+    assert sorted(r.delivery_id for r in lateness.mark_diverted(stream, closed.limit(0), exact=False).filter("diverted").collect()) == []
+
+
+def test_closings_against_all_pairs_of_sources_and_periods(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(k, hours(rng.randrange(0, 60)), hours(rng.choice([rng.uniform(0, 70), rng.uniform(20, 30)])), 1, "t", rng.choice([0, 0, 0, 1, 1, 2])) for k in range(150)]
+    stream = lateness.stream_rows(spark.createDataFrame(rows, STREAM), "s", "occurred_at", "amount")
+    closed, clocks = closings_of(stream)
+    found = {r.event_hour: r.closed_at for r in lateness.hourly(lateness.hourly_deltas(lateness.mark_diverted(stream, closed)), closed, clocks).collect()}
+    for hour, got in found.items():
+        bound = hour.replace(tzinfo=timezone.utc) + timedelta(hours=7)
+        limit = bound + timedelta(hours=2)
+        want = max(min([limit, *[r[2] for r in rows if r[5] == source and r[2] > bound]]) for source in {r[5] for r in rows})
+        assert got.replace(tzinfo=timezone.utc) == want
 
 
 def test_no_stream(spark):
     stream = lateness.stream_rows(spark.createDataFrame([], STREAM), "s", "occurred_at", "amount")
-    marks = lateness.punctuations(stream)
-    assert lateness.hourly(lateness.mark_diverted(stream, marks), lateness.closings(marks, stream)).count() == 0
+    closed, clocks = closings_of(stream)
+    assert lateness.hourly(lateness.hourly_deltas(lateness.mark_diverted(stream, closed)), closed, clocks).count() == 0
 
 
 MESSAGES = "delivery_id bigint, event_id string, decision_id string, source_topic string, source_partition int, source_offset bigint, leader_epoch int"

@@ -9,9 +9,10 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.profiles import DECISIONS_TOPIC, PAYMENTS_TOPIC, default_contracts, default_rows
 from ledgerloom.operators import curate, evaluate, features, metrics, reconcile, snapshot
 from ledgerloom.sources import models, synthetic
-from ledgerloom.sources.records import RECORD_SCHEMA, lookup, snapshot_or_empty
+from ledgerloom.sources.records import RECORD_SCHEMA, jdbc_table, lookup, snapshot_or_empty
 from ledgerloom.sources.settings import Settings
 from ledgerloom.streaming import sinks
 
@@ -41,12 +42,24 @@ def records(spark, *values):
     return spark.createDataFrame(rows, RECORD_SCHEMA)
 
 
+def curated(spark, *values):
+    return curate.curate(records(spark, *values).withColumn("e0", F.lit("another column")), default_contracts())
+
+
+def test_the_default_contracts_are_those_of_the_table(spark, data):
+    table = [r.asDict() for r in spark.read.parquet(f"{data}/contract_fields.parquet").collect()]
+    short = lambda rows: sorted(str(tuple((k, None if r[k] is None else str(r[k]).replace(" ", "")) for k in sorted(r))) for r in rows)
+    assert short(default_rows()) == short(table)
+
+
 def test_curated_rows(spark):
-    found = curate.curate(records(spark, ("payments.created", payment()), ("risk.decisions", decision())))
-    p, d = found.payments.first(), found.decisions.first()
-    assert found.quarantine.count() == 0
+    found = curated(spark, ("payments.created", payment()), ("risk.decisions", decision()))
+    p, d = found.valid(PAYMENTS_TOPIC).first(), found.valid(DECISIONS_TOPIC).first()
+    assert found.quarantine().count() == 0
     assert (p.event_id, p.merchant_id, p.amount_minor, p.event_date, p.source_offset) == (U(5), "merchant-1", 125000, date(2026, 8, 30), 0)
     assert (d.decision, d.reason_codes, d.velocity_5m, d.source_partition) == ("REVIEW", ["HIGH_AMOUNT", "NEW_DEVICE"], 2, 1)
+    assert d.decision_at.second == 1 and len(found.valid(DECISIONS_TOPIC).columns) == 6 + 12 + 1 + 4 + 4 + 2
+    assert curated(spark).valid(PAYMENTS_TOPIC).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -67,15 +80,15 @@ def test_curated_rows(spark):
     ],
 )
 def test_quarantined_codes(spark, topic, value, codes):
-    found = curate.curate(records(spark, (topic, value)))
-    row = found.quarantine.first()
+    found = curated(spark, (topic, value))
+    row = found.quarantine().first()
     assert row.error_codes == codes and row.event_date == date(2026, 8, 30) and row.raw_value
-    assert found.payments.count() == found.decisions.count() == 0
+    assert found.valid(PAYMENTS_TOPIC).count() == found.valid(DECISIONS_TOPIC).count() == 0
 
 
 @pytest.mark.parametrize("raw", ["{not-json", "", None, json.dumps(payment(occurred_at="yesterday"))])
 def test_malformed(spark, raw):
-    assert "malformed_json" in curate.curate(records(spark, ("payments.created", raw))).quarantine.first().error_codes
+    assert "malformed_json" in curated(spark, ("payments.created", raw)).quarantine().first().error_codes
 
 
 def metric_frames(spark):
@@ -198,7 +211,7 @@ def test_settings():
     env = {"KAFKA_BROKERS": "b:9092"}
     found = Settings.from_env(env)
     assert (found.trigger_interval, found.max_offsets_per_trigger, found.starting_offsets) == ("5 seconds", 10_000, "earliest")
-    for bad in ({"KAFKA_BROKERS": ""}, {"PAYMENTS_TOPIC": "risk.decisions"}, {"SPARK_TRIGGER_INTERVAL": "0 seconds"}, {"SPARK_STARTING_OFFSETS": "middle"}, {"SPARK_MAX_OFFSETS_PER_TRIGGER": "x"}, {"SPARK_MAX_OFFSETS_PER_TRIGGER": "-1"}, {"SPARK_OUTPUT_ROOT": "here"}, {"SPARK_OUTPUT_ROOT": "/a", "SPARK_CHECKPOINT_ROOT": "/a"}):
+    for bad in ({"KAFKA_BROKERS": ""}, {"PAYMENTS_TOPIC": "risk.decisions"}, {"SPARK_TRIGGER_INTERVAL": "0 seconds"}, {"SPARK_STARTING_OFFSETS": "middle"}, {"SPARK_MAX_OFFSETS_PER_TRIGGER": "x"}, {"SPARK_MAX_OFFSETS_PER_TRIGGER": "-1"}, {"SPARK_OUTPUT_ROOT": "here"}, {"SPARK_OUTPUT_ROOT": "/a/../b"}, {"KAFKA_BROKERS": "a b"}, {"SPARK_OUTPUT_ROOT": "/a/"}, {"SPARK_OUTPUT_ROOT": "/a", "SPARK_CHECKPOINT_ROOT": "/a"}):
         with pytest.raises(ValueError):
             Settings.from_env(env | bad)
 
@@ -207,7 +220,7 @@ def test_models(spark, tmp_path):
     made = synthetic.labelled_payments(spark, 4000, 7)
     assert made.select("id", "amount_minor", "label").exceptAll(synthetic.labelled_payments(spark, 4000, 7).select("id", "amount_minor", "label")).count() == 0
     r = made.agg(F.min("amount_minor").alias("a"), F.max("velocity_5m").alias("v"), F.avg("label").alias("y"), F.avg(F.col("new_device").cast("int")).alias("n")).first()
-    assert r.a >= 100 and r.v <= 20 and 0.01 < r.y < 0.1 and 0.14 < r.n < 0.22
+    assert r.a >= 300 and r.v <= 20 and 0.01 < r.y < 0.1 and 0.16 < r.n < 0.24
     with pytest.raises(ValueError):
         synthetic.labelled_payments(spark, 10)
     scored = models.closed_form()(made).select("score", (F.col("probability")).alias("p"), "label")
@@ -216,16 +229,37 @@ def test_models(spark, tmp_path):
     held_out = models.trained(model)(synthetic.labelled_payments(spark, 4000, 8))
     assert evaluate.ranking(held_out.drop("score"), score="probability").first().roc_auc > 0.6
     assert models.preprocess(made).first().features[2] in (0.0, 1.0)
-    artifact, meta = tmp_path / "m.bin", tmp_path / "m.json"
-    artifact.write_bytes(b"trees")
-    import hashlib
-
-    meta.write_text(json.dumps({"model_version": "v", "artifact_sha256": hashlib.sha256(b"trees").hexdigest(), "feature_order": models.FEATURE_ORDER}))
-    assert models.load_metadata(str(meta), str(artifact)).version == "v"
-    artifact.write_bytes(b"other")
-    for path in (meta, tmp_path / "none.json"):
+    split = models.stratified_split(made)
+    parts = {(r.part, r.label): r["count"] for r in split.groupBy("part", "label").count().collect()}
+    for label in (0, 1):
+        whole = sum(n for (_, of), n in parts.items() if of == label)
+        assert all(abs(parts[part, label] - share * whole) <= 2 for part, share in enumerate((0.6, 0.2, 0.2)))
+
+
+def test_built_models_and_their_gates(spark, tmp_path):
+    built = models.build(spark, str(tmp_path), samples=3000, rounds=4)
+    meta, artifact = tmp_path / "model.json", tmp_path / "model"
+    assert models.load_metadata(str(meta), str(artifact)) == built and 0 < built.threshold < 1 and built.rounds <= 4
+    assert built.report["test"]["tp"] + built.report["test"]["fn"] > 0 and sum(built.report["rows"].values()) == 3000
+    good = json.loads(meta.read_text())
+    for bad in ({"form": 2}, {"preprocessing": "other"}, {"features": []}, {"threshold": 1}, {"rounds": -1}, {"version": " "}, {"sha256": "0"}, {"unknown": 1}):
+        meta.write_text(json.dumps(good | bad))
         with pytest.raises(models.Unavailable):
-            models.load_metadata(str(path), str(artifact))
+            models.load_metadata(str(meta), str(artifact))
+    with pytest.raises(models.Unavailable):
+        models.load_metadata(str(tmp_path / "none.json"), str(artifact))
+
+
+def test_database_tables(spark, tmp_path):
+    """Spark's own Derby, where its jar is there."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    try:
+        spark.range(100).selectExpr("id AS k", "id % 7 AS v").write.format("jdbc").options(url=url, dbtable="t", **driver).save()
+    except Exception as e:
+        pytest.skip(str(e)[:80])
+    found = jdbc_table(spark, url, "t", "k", (0, 100), 4, **driver)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 100 and found.filter("v = 3").count() == 14
 
 
 def test_messages_and_reports(spark, tmp_path):
@@ -233,7 +267,7 @@ def test_messages_and_reports(spark, tmp_path):
     row = sinks.outbox_messages(out).first()
     assert row.key == U(1) and {h.key: bytes(h.value).decode() for h in row.headers} == {"event_id": U(5), "event_type": "payments.created", "schema_version": "1", "trace_id": U(6)}
     assert json.loads(row.value)["payload"] == {"amount_minor": "5"}
-    bad = curate.curate(records(spark, ("payments.created", "{not-json"))).quarantine
+    bad = curated(spark, ("payments.created", "{not-json")).quarantine()
     first, second = sinks.rejection_messages(bad).first(), sinks.rejection_messages(bad).first()
     assert first.key == second.key and "not-json" not in first.value
     sinks.write_topic(sinks.rejection_messages(bad), f"file://{tmp_path}", "risk.invalid-events")
