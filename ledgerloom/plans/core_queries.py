@@ -37,25 +37,29 @@ REFERENCES = {
 }
 
 
+def _screened(spark: SparkSession, d: str) -> rejects.Screened:
+    return rejects.Screened(table(spark, d, "broker_records"), table(spark, d, "contract_fields"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.Screened(table(spark, d, "broker_records"), table(spark, d, "contract_fields")).coordinates()
+    return _screened(spark, d).coordinates()
 
 
 def p1_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    found = rejects.Screened(table(spark, d, "broker_records"), table(spark, d, "contract_fields")).rejected()
-    return found.withColumn("reasons", F.array_join("reasons", ";"))
+    return portable(_screened(spark, d).rejected().withColumn("reasons", F.array_join("reasons", ";")))
 
 
 def p1_invalid_values(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.Screened(table(spark, d, "broker_records"), table(spark, d, "contract_fields")).invalid_values()
+    """How many distinct invalid values the dictionary holds by column and reason."""
+    return _screened(spark, d).invalid_values().groupBy("source_topic", "path", "reason").agg(F.count("*").alias("n_values"))
 
 
 def p1_payment_envelopes(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.typed_envelopes(table(spark, d, "broker_records"), table(spark, d, "contract_fields"), "payments.created")
+    return portable(_screened(spark, d).valid("payments.created"))
 
 
 def p1_decision_envelopes(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.typed_envelopes(table(spark, d, "broker_records"), table(spark, d, "contract_fields"), "risk.decisions")
+    return portable(_screened(spark, d).valid("risk.decisions"))
 
 
 def _orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import core_queries, reference_queries, reference_sql
+from ledgerloom.plans import contract_sql, core_queries, reference_queries, reference_sql
 
 _QUERIES = [core_queries, reference_queries]
-_ORACLES = [core_queries, reference_sql]
+_ORACLES = [core_queries, contract_sql, reference_sql]
 
 
 def queries() -> dict[str, core_queries.Query]:
