@@ -37,12 +37,12 @@ REFERENCES = {
 }
 
 
-def _screened(spark: SparkSession, d: str) -> rejects.Screened:
-    return rejects.Screened(table(spark, d, "broker_records"), table(spark, d, "contract_fields"))
+def _screened(spark: SparkSession, d: str, load: bool = True) -> rejects.Screened:
+    return rejects.Screened(table(spark, d, "broker_records"), table(spark, d, "contract_fields"), load)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _screened(spark, d).coordinates()
+    return _screened(spark, d, load=False).coordinates()
 
 
 def p1_quarantine(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p1_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_invalid_values(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct invalid values the dictionary holds by column and reason."""
-    return _screened(spark, d).invalid_values().groupBy("source_topic", "path", "reason").agg(F.count("*").alias("n_values"))
+    return _screened(spark, d, load=False).invalid_values().groupBy("source_topic", "path", "reason").agg(F.count("*").alias("n_values"))
 
 
 def p1_payment_envelopes(spark: SparkSession, d: str) -> DataFrame:

@@ -93,7 +93,7 @@ def test_against_a_plain_validator(spark, data):
         rejected = screened.rejected().collect()
         assert {(r.source_topic, r.source_partition, r.source_offset) for r in rejected} == expected
         assert all(r.reasons for r in rejected)
-        loaded = sum(rejects.typed_envelopes(table(spark, directory, "broker_records"), table(spark, directory, "contract_fields"), t).count() for t in ("payments.created", "risk.decisions"))
+        loaded = sum(screened.valid(t).count() for t in ("payments.created", "risk.decisions"))
         assert loaded == len(rows) - len(expected)
 
 
@@ -111,10 +111,30 @@ def test_reasons_dictionary_and_edge_cases(spark):
     }
     entries = {(r.path, r.token): r.reason for r in screened.invalid_values().collect()}
     assert entries[("n", "0")] == "out_of_range" and entries[("n", '"0"')] == "not_an_integer" and len(entries) == 4
-    loaded = {r.source_offset: r for r in rejects.typed_envelopes(frame, fields, "t").collect()}
+    loaded = {r.source_offset: r for r in screened.valid("t").collect()}
     assert set(loaded) == {0, 8} and loaded[0].n == 5 and loaded[8].a == "\ufffd"
 
 
+def test_the_dictionary_decides(spark, monkeypatch):
+    """Listed values are judged nowhere but in the dictionary; each distinct one is cast once, however many rows have it."""
+    fields = spark.createDataFrame([("t", "s", "enum", None, None, None, "A|B", None), ("t", "c", "code_list", None, None, "[A-Z]+", None, None), ("t", "f", "boolean", None, None, None, None, None)], FIELDS)
+    row = lambda s, c, f: json.dumps({"s": s, "c": c, "f": f})
+    raws = [row("A", ["X"], True), row("Z", ["X"], False), row("Z", ["x", "Y"], True)] * 50 + ['{"s":"Z","s":"A","c":["X"],"f":true}', '{"s":"\\u0041","c":["X"],"f":false}', row(None, [], 0)]
+    frame = spark.createDataFrame([("t", None, None, NOW, r) for r in raws], RECORD_SCHEMA).repartition(5)
+    for limit in (rejects.MAX_BROADCAST_BYTES, -1):
+        monkeypatch.setattr(rejects, "MAX_BROADCAST_BYTES", limit)
+        screened = rejects.Screened(frame, fields)
+        assert sorted((r.path, r.token, r.reason) for r in screened.dictionary.collect()) == [("c", '["x","Y"]', "not_a_code"), ("c", "[]", "empty_list"), ("f", "0", "not_a_boolean"), ("s", '"Z"', "not_allowed"), ("s", "null", "null")]
+        assert screened.found.filter("size(faults) + size(suspects) > 0").count() == 0
+        counts = {}
+        for r in screened.rejected().collect():
+            counts[";".join(r.reasons)] = counts.get(";".join(r.reasons), 0) + 1
+        assert counts == {"not_allowed:s": 51, "not_a_code:c;not_allowed:s": 50, "empty_list:c;not_a_boolean:f;null:s": 1}
+        assert len(screened.coordinates().collect()) == 102
+        loaded = screened.valid("t").collect()
+        assert len(loaded) == 51 and {(r.s, tuple(r.c), r.f) for r in loaded} == {("A", ("X",), True), ("A", ("X",), False)}
+
+
 def test_no_records(spark):
     fields = spark.createDataFrame([("t", "a", "text", None, None, None, None, None)], FIELDS)
     screened = rejects.Screened(spark.createDataFrame([], RECORD_SCHEMA), fields)
