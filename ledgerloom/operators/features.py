@@ -1,7 +1,7 @@
 """Per-customer features of events: velocity, first use of a device, first country, with an expiry of idle state.
 
 A customer's events within one window length are all that velocity needs, so rows are grouped by customer and time
-bucket, each row also being sent to the following bucket as context: no task gets a customer's whole history. First uses
+bucket, each row also being carried into the following bucket: no task gets a customer's whole history. First uses
 are group minima, combined map-side and joined back.
 
 Defined results: rows are ordered by event time, then arrival; an event sees itself; events without customer or event
@@ -19,16 +19,27 @@ STATE_TTL_S = 2_592_000
 
 
 def velocity(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """(seq, velocity): distinct payments of the customer in [t - window, t], up to and with the event."""
+    """(seq, velocity): distinct payments of the customer in [t - window, t], up to and with the event.
+
+    An occurrence of a payment counts from its event until the window has passed or the payment occurs again, whichever
+    comes first; velocity is the number of occurrences that count. So it is a running sum of +1 and -1, in as many steps
+    as twice the events. Sums start anew in each bucket of one window's length, into which an occurrence that counts
+    beyond its own bucket is carried; a bucket is all that one task must sort.
+    """
     rows = events.filter(F.col("customer_id").isNotNull() & F.col("ms").isNotNull()).select("customer_id", "payment_id", "ms", "seq")
-    own = F.call_function("div", F.col("ms") - F.pmod("ms", F.lit(window_ms)), F.lit(window_ms))
-    copies = F.explode(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("asks")), F.struct((own + 1).alias("bucket"), F.lit(False).alias("asks"))))
-    dealt = rows.select("*", copies.alias("c")).select("customer_id", "payment_id", "ms", "seq", "c.*")
-    frame = Window.partitionBy("customer_id", "bucket").orderBy("ms").rangeBetween(-window_ms, 0)
-    seen = F.collect_set(F.struct("payment_id", "ms", "seq")).over(frame)
-    before = F.filter(seen, lambda s: (s["ms"] < F.col("ms")) | (s["seq"] <= F.col("seq")))
-    counted = F.size(F.array_distinct(F.transform(before, lambda s: s["payment_id"])))
-    return dealt.withColumn("velocity", counted).filter("asks").select("seq", "velocity")
+    again = F.lead(F.struct("ms", "seq")).over(Window.partitionBy("customer_id", "payment_id", "bucket").orderBy("ms", "seq"))
+    bucket = lambda ms: F.call_function("div", ms - F.pmod(ms, F.lit(window_ms)), F.lit(window_ms))
+    # an occurrence is seen in its own bucket and, as what came before, in the next
+    copies = F.explode(F.array(F.struct(bucket(F.col("ms")).alias("bucket"), F.lit(True).alias("asks")), F.struct((bucket(F.col("ms")) + 1).alias("bucket"), F.lit(False).alias("asks"))))
+    dealt = rows.select("*", copies.alias("c")).select("customer_id", "payment_id", "ms", "seq", "c.*").withColumn("again", again)
+    # (at, step, seq): at one instant, what ends with the instant before comes first, then the events in their order
+    expired = F.struct((F.col("ms") + window_ms + 1).alias("at"), F.lit(0).alias("step"), F.lit(0).cast("bigint").alias("seq"))
+    replaced = F.struct(F.col("again.ms").alias("at"), F.lit(1).alias("step"), F.col("again.seq").cast("bigint").alias("seq"))
+    begins = F.struct(F.col("ms").alias("at"), F.lit(1).alias("step"), F.col("seq").cast("bigint").alias("seq"))
+    steps = F.array(F.struct(begins.alias("place"), F.lit(1).alias("change"), "asks"), F.struct(F.when(F.col("again").isNull(), expired).otherwise(F.least(expired, replaced)).alias("place"), F.lit(-1).alias("change"), F.lit(False).alias("asks")))
+    line = dealt.select("customer_id", "bucket", "seq", F.explode(steps).alias("s")).select("customer_id", "bucket", "seq", "s.*")
+    upto = Window.partitionBy("customer_id", "bucket").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return line.withColumn("velocity", F.sum("change").over(upto)).filter("asks").select("seq", F.col("velocity").cast("int").alias("velocity"))
 
 
 def state_epochs(events: DataFrame, ttl_s: int = STATE_TTL_S) -> DataFrame:

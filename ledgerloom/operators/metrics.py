@@ -7,12 +7,14 @@ merged. Null dimensions form groups of their own; guards give null instead of di
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: The columns of a delta, and the names of families, dimensions and buckets below.
 KEYS = ["event_date", "metric_family", "dimension_type", "dimension_value", "outcome", "metric_bucket"]
 SUMS = ["event_count", "amount_minor_sum", "risk_score_sum", "risk_score_count", "latency_ms_sum", "latency_ms_count"]
 LEAST = ["risk_score_min", "latency_ms_min"]
@@ -23,28 +25,29 @@ _MEASURES = {
 }
 
 
-def _delta(df: DataFrame, family: str, kind: Column, value: Column, outcome: Column | None = None, bucket: Column | None = None) -> DataFrame:
+def _delta(df: DataFrame, family: str, kind: Column, value: Column, outcome: Column | None = None, bucket: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Aggregated rows in the form of a delta; measures that the family lacks are null, their counts 0."""
     none = F.lit(None).cast("string")
     zero = {"risk_score_count", "latency_ms_count"}
     measures = [F.col(m).cast(t).alias(m) if m in df.columns else F.lit(0 if m in zero else None).cast(t).alias(m) for m, t in _MEASURES.items()]
     keys = [F.col("event_date"), F.lit(family).alias("metric_family"), kind.alias("dimension_type"), value.alias("dimension_value")]
-    return df.select(*keys, (none if outcome is None else outcome).alias("outcome"), (none if bucket is None else bucket).alias("metric_bucket"), *measures)
+    return df.select(*by, *keys, (none if outcome is None else outcome).alias("outcome"), (none if bucket is None else bucket).alias("metric_bucket"), *measures)
 
 
-def payment_volume(payments: DataFrame) -> DataFrame:
-    """Count and amount: overall, by merchant, by country."""
+def payment_volume(payments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Count and amount: overall, by merchant, by country. Here and below ``by`` are further keys, which stay columns."""
     day, merchant, country = F.col("event_date"), F.col("merchant_id"), F.col("country")
-    cube = payments.groupingSets([["event_date"], ["event_date", "merchant_id"], ["event_date", "country"]], day, merchant, country)
+    outer = ["event_date", *by]
+    cube = payments.groupingSets([outer, [*outer, "merchant_id"], [*outer, "country"]], day, *map(F.col, by), merchant, country)
     found = cube.agg(F.grouping("merchant_id").alias("gm"), F.grouping("country").alias("gc"), F.count("*").alias("event_count"), F.sum("amount_minor").alias("amount_minor_sum"))
     kind = F.when(F.col("gm") == 0, "merchant").when(F.col("gc") == 0, "country").otherwise("overall")
-    return _delta(found, "payment_volume", kind, F.when(F.col("gm") == 0, merchant).when(F.col("gc") == 0, country).otherwise("ALL"))
+    return _delta(found, "payment_volume", kind, F.when(F.col("gm") == 0, merchant).when(F.col("gc") == 0, country).otherwise("ALL"), by=by)
 
 
-def decision_counts(decisions: DataFrame) -> DataFrame:
+def decision_counts(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count by outcome."""
-    found = decisions.groupBy("event_date", "decision").agg(F.count("*").alias("event_count"))
-    return _delta(found, "decision_rate", F.lit("overall"), F.lit("ALL"), outcome=F.col("decision"))
+    found = decisions.groupBy("event_date", *by, "decision").agg(F.count("*").alias("event_count"))
+    return _delta(found, "decision_rate", F.lit("overall"), F.lit("ALL"), outcome=F.col("decision"), by=by)
 
 
 def score_bucket(score: Column) -> Column:
@@ -53,38 +56,39 @@ def score_bucket(score: Column) -> Column:
     return F.format_string("%02d-%02d", low, F.when(low == 90, F.lit(100)).otherwise(low + 9))
 
 
-def score_distribution(decisions: DataFrame) -> DataFrame:
+def score_distribution(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Scores by bucket: overall and by decision."""
-    rows = decisions.select("event_date", "decision", "risk_score", score_bucket(F.col("risk_score")).alias("bucket"))
-    cube = rows.groupingSets([["event_date", "bucket"], ["event_date", "bucket", "decision"]], F.col("event_date"), F.col("bucket"), F.col("decision"))
+    rows = decisions.select("event_date", *by, "decision", "risk_score", score_bucket(F.col("risk_score")).alias("bucket"))
+    outer = ["event_date", *by, "bucket"]
+    cube = rows.groupingSets([outer, [*outer, "decision"]], *map(F.col, outer), F.col("decision"))
     found = cube.agg(
         F.grouping("decision").alias("gd"), F.count("*").alias("event_count"), F.sum("risk_score").alias("risk_score_sum"),
         F.count("risk_score").alias("risk_score_count"), F.min("risk_score").alias("risk_score_min"), F.max("risk_score").alias("risk_score_max"),
     )
     whole = F.col("gd") == 1
-    return _delta(found, "risk_score_distribution", F.when(whole, "overall").otherwise("decision"), F.when(whole, F.lit("ALL")).otherwise(F.col("decision")), bucket=F.col("bucket"))
+    return _delta(found, "risk_score_distribution", F.when(whole, "overall").otherwise("decision"), F.when(whole, F.lit("ALL")).otherwise(F.col("decision")), bucket=F.col("bucket"), by=by)
 
 
-def ingestion_latency(*streams: DataFrame) -> DataFrame:
+def ingestion_latency(*streams: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Milliseconds from broker to lake by topic, at least 0."""
     late = F.greatest(F.lit(0).cast("bigint"), F.unix_millis("ingested_at") - F.unix_millis("kafka_timestamp"))
-    rows = reduce(DataFrame.unionByName, [s.select("event_date", "source_topic", late.alias("ms")) for s in streams])
-    found = rows.groupBy("event_date", "source_topic").agg(
+    rows = reduce(DataFrame.unionByName, [s.select("event_date", *by, "source_topic", late.alias("ms")) for s in streams])
+    found = rows.groupBy("event_date", *by, "source_topic").agg(
         F.count("*").alias("event_count"), F.sum("ms").alias("latency_ms_sum"), F.count("ms").alias("latency_ms_count"), F.min("ms").alias("latency_ms_min"), F.max("ms").alias("latency_ms_max")
     )
-    return _delta(found, "ingestion_latency", F.lit("source_topic"), F.col("source_topic"))
+    return _delta(found, "ingestion_latency", F.lit("source_topic"), F.col("source_topic"), by=by)
 
 
-def quarantine_errors(quarantine: DataFrame) -> DataFrame:
+def quarantine_errors(quarantine: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count by topic and error code."""
-    rows = quarantine.select("event_date", "source_topic", F.explode("error_codes").alias("error_code"))
-    found = rows.groupBy("event_date", "source_topic", "error_code").agg(F.count("*").alias("event_count"))
-    return _delta(found, "quarantine_error", F.lit("source_topic"), F.col("source_topic"), bucket=F.col("error_code"))
+    rows = quarantine.select("event_date", *by, "source_topic", F.explode("error_codes").alias("error_code"))
+    found = rows.groupBy("event_date", *by, "source_topic", "error_code").agg(F.count("*").alias("event_count"))
+    return _delta(found, "quarantine_error", F.lit("source_topic"), F.col("source_topic"), bucket=F.col("error_code"), by=by)
 
 
-def daily_deltas(payments: DataFrame, decisions: DataFrame, quarantine: DataFrame) -> DataFrame:
-    """The additive deltas of all families of one batch."""
-    families = [payment_volume(payments), decision_counts(decisions), score_distribution(decisions), ingestion_latency(payments, decisions), quarantine_errors(quarantine)]
+def daily_deltas(payments: DataFrame, decisions: DataFrame, quarantine: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The additive deltas of all families of one batch, or of several at once if ``by`` tells them apart."""
+    families = [payment_volume(payments, by), decision_counts(decisions, by), score_distribution(decisions, by), ingestion_latency(payments, decisions, by=by), quarantine_errors(quarantine, by)]
     return reduce(DataFrame.unionByName, families)
 
 

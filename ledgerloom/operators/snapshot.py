@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.contracts import Bad, Contract, contracts_of, parse_json
+
 
 def summary(df: DataFrame, by: str, values: Sequence[str], total: str | None = None) -> DataFrame:
     """One row: rows, the sum of ``total`` (0 for none), and the rows with each of the values."""
@@ -63,21 +66,72 @@ def latest_versions(decisions: DataFrame) -> DataFrame:
     return found.filter(F.col("v").isNotNull()).select("v.*")
 
 
-def newest_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The row of each key that is greatest by ``order``; combined map-side, so a hot key costs no task more."""
-    columns = [c for c in df.columns if c != key]
-    found = df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("v"))
-    return found.select(key, "v.*")
+def newest_by(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The row of each key that is greatest by ``order``; combined map-side, so a hot key costs no task more.
+
+    Only ``columns`` (default: all) are carried through the aggregation.
+    """
+    kept = [c for c in (columns or df.columns) if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("v")).select(key, "v.*")
 
 
-def oldest_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def oldest_by(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The row of each key that is least by ``order``."""
-    columns = [c for c in df.columns if c != key]
-    found = df.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("v"))
-    return found.select(key, "v.*")
+    kept = [c for c in (columns or df.columns) if c != key]
+    return df.groupBy(key).agg(F.min_by(F.struct(*kept), F.struct(*order)).alias("v")).select(key, "v.*")
 
 
 def next_due(outbox: DataFrame, now: Column, limit: int = 100) -> DataFrame:
     """Unpublished, not dead-lettered events whose next attempt is due, in the order of delivery."""
     due = outbox.filter(F.col("published_at").isNull() & F.col("dead_lettered_at").isNull() & (F.col("next_attempt_at") <= now))
     return due.orderBy("next_attempt_at", "created_at", "id").limit(limit)
+
+
+#: What the served read model must hold: whole numbers from zero on, and an average score.
+_COUNTS = {
+    "payments": ["n_rows", "amount_minor_sum", "n_pending_risk", "n_allowed", "n_review", "n_blocked", "n_failed"], "decisions": ["n_rows", "n_allow", "n_review", "n_block"],
+    "processing": ["n_pending", "n_retrying", "n_dead_lettered", "n_rejected"],
+}
+
+
+def snapshot_contract() -> Contract:
+    """The contract of the read model, in the form of those of messages."""
+    none = dict.fromkeys(("lowest", "highest", "pattern", "allowed", "equal_to"))
+    rows = [none | {"source_topic": "snapshot", "field_path": part, "value_kind": "object"} for part in _COUNTS]
+    rows += [none | {"source_topic": "snapshot", "field_path": f"{part}.{c}", "value_kind": "integer", "lowest": ">=0"} for part, cs in _COUNTS.items() for c in cs]
+    rows.append(none | {"source_topic": "snapshot", "field_path": "decisions.risk_score_avg", "value_kind": "number", "lowest": ">=0", "highest": "<=100"})
+    return contracts_of(rows)["snapshot"]
+
+
+def as_json(parts: dict[str, DataFrame]) -> DataFrame:
+    """Frames of one row each as one row with the column ``snapshot``, a JSON object."""
+    packed = [df.select(F.struct(*df.columns).alias(name)) for name, df in parts.items()]
+    whole = packed[0]
+    for more in packed[1:]:
+        whole = _side_by_side(whole, more)
+    return whole.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("snapshot"))
+
+
+def contract_problems(snapshots: DataFrame) -> DataFrame:
+    """(problem): each way in which a snapshot breaks its contract. Few rows of few bytes."""
+    contract = snapshot_contract()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                try:
+                    faults, values = contract.walk(parse_json(text or ""))
+                except ValueError:
+                    found.append("malformed_json")
+                    continue
+                found += faults
+                for rule, each in zip(contract.rules, values, strict=True):
+                    for value in each:
+                        try:
+                            rule.cast(value)
+                        except Bad as bad:
+                            found.append(f"{bad}:{rule.path}")
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["problem"])
+
+    return snapshots.select("snapshot").mapInArrow(run, "problem string")

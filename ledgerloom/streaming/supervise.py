@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import signal
 import threading
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -51,3 +53,21 @@ def lag(query: StreamingQuery) -> list[dict[str, object]]:
         end, latest = _offsets(get("endOffset")), _offsets(get("latestOffset"))
         out += [{"source": get("description"), "topic": t, "partition": int(p), "lag": max(0, latest[t, p] - end.get((t, p), 0))} for t, p in sorted(latest)]
     return out
+
+
+def retrying(each: Callable[[DataFrame, int], None], attempts: int = 5, first_s: float = 0.1, longest_s: float = 5.0, transient: tuple[type[Exception], ...] = (OSError, TimeoutError, ConnectionError), sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """``each`` of a micro-batch, tried again after ``transient`` errors with doubling waits; the last error is raised.
+
+    A batch's tables are committed once, so trying again is harmless. Other errors are raised at once.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        for attempt in range(attempts):
+            try:
+                return each(batch, batch_id)
+            except transient:
+                if attempt == attempts - 1:
+                    raise
+                sleep(min(longest_s, first_s * 2**attempt))
+
+    return run
