@@ -64,7 +64,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_daily, p4_period, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return spans.longest_levels(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_daily, p4_period, p6_ids, p7_containers, p7_report, p8_found, p8_shares, p8_levels)}
 
 #: Daily groups of the small data keep every value, so there the answers are exact.
 _DAILY_SQL = """WITH v AS (

@@ -2,34 +2,39 @@
 
 A character is shared if it lies in a window of ``length`` characters that another text holds verbatim. Such a window
 can only repeat if its shorter windows do. So each level looks at windows of one length, L/4, L/2 and L: those repeated
-in another text at one level are extended to twice the length at the next, within what is left, and the windows of the
-last level that are repeated make up the result.
+in another text at one level are extended to twice the length at the next, within what is left, and the windows of length
+L that are repeated make up the spans. ``longest_levels`` goes on doubling until no window survives.
 
-Below the last level a window of L characters is stood for by one of its short windows, the leftmost one of least hash.
-Equal windows choose equal short windows at the same place, so no repeated window is lost, while only about one position
-in 75 (or 50) is looked at. A window of L characters stays a candidate while the short window that it chose is repeated.
+Below L a window of L characters is stood for by one of its short windows, the leftmost one of least hash. Equal windows
+choose equal short windows at the same place, so no repeated window is lost, while only about one position in 75 (or 50)
+is looked at. A window of L characters stays a candidate while the short window that it chose is repeated; a wrong
+repeat there only keeps a candidate for longer. From L on, windows are told apart by two polynomial hashes modulo the
+prime 2**61 - 1 whose bases are drawn anew for each run, so whatever the texts, two different windows of n characters
+agree with a chance of at most (n / 2**61)**2: with 10**12 windows of 200, one wrong pair in 10**8 runs.
 
 Repeats are found with one shuffle a level, of packed hashes. A task first compares its own rows: a window that two of
 its texts share is settled there, and one marker stands for it, so however many texts share a window, a task sends it
-once for each text at most if it knows it from one text only. Texts move once: what is left of them after the first
+once for each text at most if it knows it from one text only. The hashes are cut into shards by their value, as many as
+the texts need, and settled one shard after the other. Texts move once at most: what is left of them after the first
 level is written to the shared folder, and the later levels read only that.
 
 Defined results: null texts and texts shorter than ``length`` share nothing; repeats within one text don't count, nor
 does a key that occurs in several rows count as several texts; identical texts share everything; nothing is normalised;
-characters are code points; a text of any length is taken whole; an empty table gives no spans. Windows of the last level
-are compared by two independent 64-bit hashes: with N of them, a wrong one is expected N*N / 2**129 times. At the levels
-before, a wrong repeat only keeps a candidate for longer.
+characters are code points; a text of any length is taken whole; an empty table gives no spans.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import bloom
 from ledgerloom.session import materialize
 
 LENGTH = 200
@@ -38,42 +43,35 @@ BLOCK = 1 << 18
 POSITION_BITS = 20
 #: Rows a task packs at a time.
 FLUSH_ROWS = 4_000_000
-#: Texts a shard of hashes is meant for.
+#: Texts a shard of hashes is meant for, and the shards that a task settles, one after the other.
 TEXTS_PER_SHARD = 1_000
-MAX_SHARDS = 1 << 16
+SHARDS_PER_TASK = 16
 #: Bytes of surviving positions that may be broadcast to the scan of the texts; more are joined by shuffle.
 MAX_BROADCAST_BYTES = 48 << 20
 
-#: Bases of the two polynomial hashes.
-_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_BASE, _MIX = np.uint64(0xD6E8FEB86659FD93), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 #: Position of a marker: the window is known to be in two texts.
 MARKER = -1
 
 
 class Hasher:
-    """Polynomial hashes of all windows of a block, from prefix sums modulo 2**64."""
+    """Quick polynomial hashes of all windows of a block, from prefix sums modulo 2**64, for the levels below L."""
 
-    def __init__(self, size: int, which: int = 0):
-        base = _BASES[which]
-        inverse = np.uint64(pow(int(base), -1, 2**64))
-        self.power, self.inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (base, inverse))
-        self.letter = _MIX[which]
+    def __init__(self, size: int):
+        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+        self.power, self.inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASE, inverse))
 
     def prefix(self, points: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(points) + 1, np.uint64)
-        spread = (points.astype(np.uint64) + np.uint64(1)) * self.letter
+        spread = (points.astype(np.uint64) + np.uint64(1)) * _MIX[0]
         spread ^= spread >> np.uint64(29)
         spread *= self.power[: len(points)]
         np.cumsum(spread, out=sums[1:])
         return sums
 
-    def windows(self, prefix: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the windows of ``length`` that begin at ``at`` (default: all that fit)."""
-        if at is None:
-            out = (prefix[length:] - prefix[:-length]) * self.inverse[: len(prefix) - length]
-        else:
-            out = (prefix[at + length] - prefix[at]) * self.inverse[at]
+    def windows(self, prefix: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of all windows of ``length``."""
+        out = (prefix[length:] - prefix[:-length]) * self.inverse[: len(prefix) - length]
         out ^= np.uint64(length)
         out ^= out >> np.uint64(33)
         out *= _MIX[0]
@@ -81,13 +79,63 @@ class Hasher:
         return out
 
 
-_HASHERS: dict[tuple[int, int], Hasher] = {}
+PRIME = np.uint64(2**61 - 1)
+_LOW32, _LOW29 = np.uint64(2**32 - 1), np.uint64(2**29 - 1)
+_S61, _S32, _S29, _S3 = np.uint64(61), np.uint64(32), np.uint64(29), np.uint64(3)
 
 
-def hasher(which: int = 0, size: int = BLOCK) -> Hasher:
-    if (which, size) not in _HASHERS:
-        _HASHERS[which, size] = Hasher(size, which)
-    return _HASHERS[which, size]
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, in [0, PRIME)."""
+    x = (x & PRIME) + (x >> _S61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 32 bits; 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> _S32, a & _LOW32, b >> _S32, b & _LOW32
+    low, middle, high = a0 * b0, a1 * b0 + a0 * b1, a1 * b1
+    return _reduce((low & PRIME) + (low >> _S61) + (middle >> _S29) + ((middle & _LOW29) << _S32) + (high << _S3))
+
+
+class ExactHasher:
+    """Polynomial hashes of windows modulo the prime, from prefix sums."""
+
+    def __init__(self, base: int, size: int):
+        self.power, self.inverse = self._powers(base, size), self._powers(pow(base, -1, int(PRIME)), size)
+
+    @staticmethod
+    def _powers(base: int, size: int) -> np.ndarray:
+        out, step = np.ones(1, np.uint64), base
+        while len(out) <= size:
+            out = np.concatenate([out, multiply(out, np.full(len(out), step, np.uint64))])
+            step = step * step % int(PRIME)
+        return out[: size + 1]
+
+    def prefix(self, points: np.ndarray) -> np.ndarray:
+        terms = multiply(points.astype(np.uint64) + np.uint64(1), self.power[: len(points)])
+        high, low = np.cumsum(terms >> _S32), np.cumsum(terms & _LOW32)
+        sums = np.zeros(len(points) + 1, np.uint64)
+        sums[1:] = _reduce((high >> _S29) + ((high & _LOW29) << _S32) + low)
+        return sums
+
+    def windows(self, prefix: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows of ``length`` that begin at ``at``."""
+        return multiply(_reduce(prefix[at + length] + PRIME - prefix[at]), self.inverse[at])
+
+
+def new_bases() -> tuple[int, int]:
+    """The bases of one run, the same in all its tasks."""
+    return 2 + secrets.randbelow(int(PRIME) - 3), 2 + secrets.randbelow(int(PRIME) - 3)
+
+
+@cache
+def hasher(size: int = BLOCK) -> Hasher:
+    return Hasher(size)
+
+
+@lru_cache(maxsize=4)
+def exact_hasher(base: int, size: int) -> ExactHasher:
+    return ExactHasher(base, size)
 
 
 def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -103,13 +151,13 @@ def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(onward[:count], upto[width - 1 : width - 1 + count]) & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
 
 
-def blocks(keys: list[int], offsets: list[int], texts: list[str | None], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(keys: list[int], offsets: list[int], texts: list[str | None], length: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of code points from several texts: (points, text number, where it begins in the block, its offset).
 
     Every window of ``length`` lies in exactly one block: the parts of a text that exceeds a block overlap.
     """
     held: list[tuple[int, int, np.ndarray]] = []
-    size = 0
+    size, most = 0, most or BLOCK
 
     def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(p) for _, _, p in held])
@@ -119,9 +167,9 @@ def blocks(keys: list[int], offsets: list[int], texts: list[str | None], length:
         if text is None or len(text) < length:
             continue
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for low in range(0, len(points) - length + 1, BLOCK - length + 1):
-            part = points[low : low + BLOCK]
-            if held and size + len(part) > BLOCK:
+        for low in range(0, len(points) - length + 1, most - length + 1):
+            part = points[low : low + most]
+            if held and size + len(part) > most:
                 yield joined()
                 held, size = [], 0
             held.append((k, offsets[k] + low, part))
@@ -169,7 +217,7 @@ class Rows:
         hashes, seconds, keys = hashes[sent], seconds[sent], keys[sent]
         positions = positions[sent]
         positions[len(sent) - len(heads) :] = MARKER
-        shard = (hashes >> np.uint64(40)).astype(np.int64) % self.shards
+        shard = ((hashes * _MIX[1]) >> np.uint64(20)).astype(np.int64) % self.shards
         order = np.lexsort((positions, keys, shard))
         hashes, seconds, keys, positions, shard = hashes[order], seconds[order], keys[order], positions[order], shard[order]
         cut = np.flatnonzero(np.diff(shard)) + 1
@@ -218,74 +266,113 @@ def _by_key(keys: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[heads], pa.int64()), lists], names=["key", "starts"])
 
 
+def _settle(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
+    """(key, starts) of a shard's rows whose window is repeated."""
+    single = all(s is h for h, s, _, _ in parts)
+    hashes, seconds, keys, positions = (np.concatenate(x) for x in zip(*parts, strict=True))
+    shared, _ = shared_rows(hashes, hashes if single else seconds, keys, positions)
+    shared &= positions != MARKER
+    return _by_key(keys[shared], positions[shared]) if shared.any() else None
+
+
 def _survivors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of some shards to (key, starts) of those whose window is repeated."""
+    """The rows of some shards, in order of the shards, to (key, starts) of those whose window is repeated."""
     waiting: list[tuple[np.ndarray, ...]] = []
+    current = None
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             hashes, seconds, keys, positions = unpack(row)
             if hashes is None:
                 yield _by_key(keys, positions)
-            else:
-                waiting.append((hashes, seconds, keys, positions))
-    if waiting:
-        single = all(s is h for h, s, _, _ in waiting)
-        hashes, seconds, keys, positions = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        seconds = hashes if single else seconds
-        shared, _ = shared_rows(hashes, seconds, keys, positions)
-        shared &= positions != MARKER
-        if shared.any():
-            yield _by_key(keys[shared], positions[shared])
-
-
-def repeated(packed: DataFrame) -> DataFrame:
-    """(key, starts): the positions of each text whose windows other texts hold too; one shuffle by hash, one by text."""
-    found = packed.repartition("shard").mapInArrow(_survivors_of, "key bigint, starts array<int>")
+                continue
+            if row["shard"] != current:
+                if waiting and (found := _settle(waiting)) is not None:
+                    yield found
+                waiting, current = [], row["shard"]
+            waiting.append((hashes, seconds, keys, positions))
+    if waiting and (found := _settle(waiting)) is not None:
+        yield found
+
+
+def repeated(packed: DataFrame, shards: int) -> DataFrame:
+    """(key, starts): the positions of each text whose windows other texts hold too; one shuffle by hash, one by text.
+
+    A task has a bounded number of shards whatever the session's setting, and holds one of them at a time.
+    """
+    tasks = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_PER_TASK))
+    found = packed.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_survivors_of, "key bigint, starts array<int>")
     return found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-def _scan(length: int, level: int, shards: int, narrowed: bool, last: bool):
-    """One level's pass over texts (key, offset, text[, starts]); the rows of the level, packed."""
+def _scan(length: int, level: int, shards: int):
+    """A pass over texts (key, offset, text) at a level below ``length``; the rows of the level, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing, other, rows = hasher(), hasher(1) if last else None, Rows(shards)
+        hashing, rows = hasher(), Rows(shards)
         for batch in batches:
             keys, offsets, texts = (batch.column(k).to_pylist() for k in range(3))
-            alive = batch.column(3) if narrowed else None
             for points, owner, begins, shift in blocks(keys, offsets, texts, length):
-                prefix = hashing.prefix(points)
                 starts, part = starts_that_fit(len(points), begins, length)
-                if narrowed:
-                    starts, part = _candidates(hashing, prefix, starts, part, level // 2 if last else level, length, owner, begins, shift, alive)
-                if last:
-                    chosen, part_of = starts, part
-                    hashes = hashing.windows(prefix, length, chosen)
-                    seconds = other.windows(other.prefix(points), length, chosen)
-                else:
-                    every = hashing.windows(prefix, level)
-                    minima = leftmost_minima(every, length - level + 1)[starts]
-                    fresh = np.concatenate([[True], (minima[1:] != minima[:-1])]) if len(minima) else np.empty(0, bool)
-                    chosen, part_of = minima[fresh], part[fresh]
-                    hashes, seconds = every[chosen], None
+                every = hashing.windows(hashing.prefix(points), level)
+                minima = leftmost_minima(every, length - level + 1)[starts]
+                fresh = np.concatenate([[True], (minima[1:] != minima[:-1])]) if len(minima) else np.empty(0, bool)
+                chosen, part_of = minima[fresh], part[fresh]
                 positions = (chosen - begins[part_of] + shift[part_of]).astype(np.int32)
-                rows.add(hashes, seconds, np.array(keys, np.int64)[owner[part_of]], positions)
+                rows.add(every[chosen], None, np.array(keys, np.int64)[owner[part_of]], positions)
             if rows.size > FLUSH_ROWS:
-                yield from rows.pack(last)
-        yield from rows.pack(last)
+                yield from rows.pack(False)
+        yield from rows.pack(False)
 
     return run
 
 
-def _candidates(hashing, prefix, starts, part, level, length, owner, begins, shift, alive):
-    """Of the windows, those whose chosen short window of the given level is among the surviving positions."""
-    minima = leftmost_minima(hashing.windows(prefix, level), length - level + 1)
-    keep = np.zeros(len(prefix), bool)
+def _scan_exactly(length: int, level: int, below: int | None, shards: int, bases: tuple[int, int]):
+    """A pass over texts (key, offset, text, starts) at ``level``, ``length`` or a doubling of it; its rows, packed.
+
+    Candidates are the windows whose short window of length ``below`` has survived, or, without ``below``, those both of
+    whose halves have.
+    """
+    most = max(BLOCK, 4 * level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, rows = *(exact_hasher(b, most) for b in bases), Rows(shards)
+        for batch in batches:
+            keys, offsets, texts = (batch.column(k).to_pylist() for k in range(3))
+            for points, owner, begins, shift in blocks(keys, offsets, texts, level, most):
+                starts, part = starts_that_fit(len(points), begins, level)
+                if below is None:
+                    alive = _marked(len(points) + 1, owner, begins, shift, batch.column(3))
+                    good = alive[starts] & alive[starts + level // 2]
+                    starts, part = starts[good], part[good]
+                else:
+                    starts, part = _candidates(hasher(), hasher().prefix(points), starts, part, below, length, owner, begins, shift, batch.column(3))
+                if len(starts):
+                    positions = (starts - begins[part] + shift[part]).astype(np.int32)
+                    rows.add(one.windows(one.prefix(points), level, starts), two.windows(two.prefix(points), level, starts), np.array(keys, np.int64)[owner[part]], positions)
+            if rows.size > FLUSH_ROWS:
+                yield from rows.pack(True)
+        yield from rows.pack(True)
+
+    return run
+
+
+def _marked(size: int, owner, begins, shift, alive) -> np.ndarray:
+    """Which positions of a block are among the surviving ones of their text."""
+    keep = np.zeros(size, bool)
     for k in range(len(owner)):
         where = alive[int(owner[k])].values
         if where is not None:
             at = np.asarray(where) - shift[k]
-            end = (begins[k + 1] if k + 1 < len(begins) else len(prefix) - 1) - begins[k]
+            end = (begins[k + 1] if k + 1 < len(begins) else size - 1) - begins[k]
             keep[begins[k] + at[(at >= 0) & (at < end)]] = True
+    return keep
+
+
+def _candidates(hashing, prefix, starts, part, level, length, owner, begins, shift, alive):
+    """Of the windows, those whose chosen short window of the given level is among the surviving positions."""
+    minima = leftmost_minima(hashing.windows(prefix, level), length - level + 1)
+    keep = _marked(len(prefix), owner, begins, shift, alive)
     good = keep[minima[starts]]
     return starts[good], part[good]
 
@@ -316,31 +403,91 @@ def _cut(length: int, level: int):
     return run
 
 
+def _keep(length: int):
+    """Texts (key, offset, text, starts) to the parts that hold surviving windows of ``length``, with their positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for key, offset, text, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                at = np.unique(np.asarray(starts.values))
+                at = at[(at >= offset) & (at <= offset + len(text) - length)]
+                if not len(at):
+                    continue
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(at) > length]))
+                for a, b in zip(heads, np.append(heads[1:], len(at)), strict=True):
+                    out[0].append(key)
+                    out[1].append(int(at[a]))
+                    out[2].append(text[at[a] - offset : at[b - 1] - offset + length])
+                    out[3].append(at[a:b])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.int32()))], names=["key", "offset", "text", "starts"])
+
+    return run
+
+
 def _narrow(texts: DataFrame, alive: DataFrame) -> DataFrame:
-    """Texts with the surviving positions of their key; texts without any drop out."""
-    size = alive.agg(F.sum(F.size("starts") * 4 + 40).alias("b")).first()["b"] or 0
-    return texts.join(F.broadcast(alive) if size <= MAX_BROADCAST_BYTES else alive, "key").select("key", "offset", "text", "starts")
+    """Texts with the surviving positions of their key; texts without any drop out.
+
+    Beyond the broadcast limit texts are moved to their positions, after a filter of bounded pieces has taken out those
+    that have none.
+    """
+    size = alive.agg(F.count("*").alias("n"), F.sum(F.size("starts") * 4 + 40).alias("b")).first()
+    if (size["b"] or 0) <= MAX_BROADCAST_BYTES:
+        alive = F.broadcast(alive)
+    else:
+        named = lambda df: df.withColumns({"_set": F.lit(""), "_name": F.col("key").cast("string")})
+        filters = bloom.build(named(alive), {"": size["n"]}, "_set", "_name")
+        texts = bloom.test(named(texts), "_set", "_name", filters, "_possible").filter("_possible")
+    return texts.join(alive, "key").select("key", "offset", "text", "starts")
 
 
 def shards_for(texts: int) -> int:
     shards = 64
-    while shards < MAX_SHARDS and shards * TEXTS_PER_SHARD < texts:
+    while shards * TEXTS_PER_SHARD < texts:
         shards *= 2
     return shards
 
 
-def shared_windows(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, starts): where the windows of ``length`` begin that another text holds too, per text, unordered."""
+def _levels_below(documents: DataFrame, key: str, text: str, length: int, shards: int) -> DataFrame:
+    """(key, offset, text, starts): what is left of the texts, with the repeated short windows of the level before ``length``."""
     if length < 8 or length >= BLOCK // 2:
         raise ValueError(f"length {length} is not in 8 to {BLOCK // 2}")
-    shards = shards_for(documents.count())
     texts = documents.select(F.col(key).cast("bigint").alias("key"), F.lit(0).alias("offset"), F.col(text).alias("text"))
     texts = texts.filter(F.length("text") >= length)
-    first, second = length // 4, length // 2
-    alive = materialize(repeated(texts.mapInArrow(_scan(length, first, shards, False, False), _PACKED)), "spans-first")
-    left = materialize(_narrow(texts, alive).mapInArrow(_cut(length, first), "key bigint, offset int, text string"), "spans-left")
-    alive = materialize(repeated(left.mapInArrow(_scan(length, second, shards, False, False), _PACKED)), "spans-second")
-    return repeated(_narrow(left, alive).mapInArrow(_scan(length, second * 2, shards, True, True), _PACKED))
+    alive = materialize(repeated(texts.mapInArrow(_scan(length, length // 4, shards), _PACKED), shards), "spans-first")
+    left = materialize(_narrow(texts, alive).mapInArrow(_cut(length, length // 4), "key bigint, offset int, text string"), "spans-left")
+    alive = materialize(repeated(left.mapInArrow(_scan(length, length // 2, shards), _PACKED), shards), "spans-second")
+    return _narrow(left, alive)
+
+
+def shared_windows(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(key, starts): where the windows of ``length`` begin that another text holds too, per text, unordered."""
+    shards = shards_for(documents.count())
+    left = _levels_below(documents, key, text, length, shards)
+    return repeated(left.mapInArrow(_scan_exactly(length, length, length // 2, shards, new_bases()), _PACKED), shards)
+
+
+def longest_levels(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(key, longest_level) of the texts that share anything: the greatest of L, 2L, 4L, ... at which they share a window.
+
+    A window of twice the length is a candidate if both its halves are repeated. Each level reads what the one before
+    has left; the loop ends with the first level at which nothing is repeated.
+    """
+    shards = shards_for(documents.count())
+    left = materialize(_levels_below(documents, key, text, length, shards), "level-left")
+    packed = left.mapInArrow(_scan_exactly(length, length, length // 2, shards, new_bases()), _PACKED)
+    found, level = None, length
+    while True:
+        alive = materialize(repeated(packed, shards), f"level-{level}")
+        own = alive.select("key", F.lit(level).alias("longest_level"))
+        found = own if found is None else found.unionByName(own)
+        if not alive.limit(1).count():
+            break
+        left = materialize(_narrow(left.drop("starts"), alive).mapInArrow(_keep(level), "key bigint, offset int, text string, starts array<int>"), "level-left")
+        level *= 2
+        packed = left.mapInArrow(_scan_exactly(length, level, None, shards, new_bases()), _PACKED)
+    return found.groupBy(F.col("key").alias(key)).agg(F.max("longest_level").alias("longest_level"))
 
 
 def _runs(length: int):

@@ -126,6 +126,64 @@ def test_the_second_hash_decides():
     assert spans.shared_rows(hashes, np.array([1, 2, 3, 3], np.uint64), keys, positions)[0].tolist() == [False, False, True, True]
 
 
+def thue_morse(n: int) -> str:
+    """Two such texts, one with its letters exchanged, have the same hash modulo a power of two for any odd base."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+@pytest.mark.parametrize("length", [512, 1024, 2048])
+def test_texts_that_no_hash_modulo_a_power_of_two_tells_apart(spark, length):
+    one = thue_morse(length)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "x" * 10 + one + "y" * length), (2, "z" * 10 + other + "w" * length), (3, "q" * 99 + one)]
+    assert found(spark, rows, length) == {(1, 10, 10 + length), (3, 99, 99 + length)}
+
+
+def test_exact_hashes_against_whole_numbers():
+    rng, prime = np.random.default_rng(3), 2**61 - 1
+    a, b = (rng.integers(0, prime, 2000, dtype=np.uint64) for _ in range(2))
+    a[:4], b[:4] = [0, prime - 1, prime - 1, 1], [5, prime - 1, 1, prime - 1]
+    assert spans.multiply(a, b).tolist() == [int(x) * int(y) % prime for x, y in zip(a, b, strict=True)]
+    base = spans.new_bases()[0]
+    hashing, points = spans.ExactHasher(base, 4096), rng.integers(0, 0x110000, 4000).astype(np.uint32)
+    at = np.array([0, 1, 17, 3000, 3799])
+    got = hashing.windows(hashing.prefix(points), 200, at)
+    assert got.tolist() == [sum((int(c) + 1) * pow(base, j, prime) for j, c in enumerate(points[i : i + 200])) % prime for i in at]
+
+
+def test_texts_moved_to_their_positions(spark, monkeypatch):
+    monkeypatch.setattr(spans, "MAX_BROADCAST_BYTES", -1)
+    rows = corpus(4, 60, 60)
+    assert found(spark, rows, 60) == brute(rows, 60)
+
+
+def test_many_shards_in_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "TEXTS_PER_SHARD", 0.2)
+    rows = corpus(0, 60, 40)
+    assert spans.shards_for(60) == 512 and found(spark, rows, 40) == brute(rows, 40)
+
+
+def test_longest_levels(spark):
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passages = [make(n) for n in (50, 79, 80, 160, 700, 3000)]
+    rows = [(k, make(40) + p + make(30)) for p in passages for k in (passages.index(p), passages.index(p) + 10)] + [(30, None), (31, make(500))]
+    want = {}
+    level = 40
+    while True:
+        keys = {k for k, *_ in brute(rows, level)}
+        want |= dict.fromkeys(keys, level)
+        if not keys:
+            break
+        level *= 2
+    got = {r.doc_id: r.longest_level for r in spans.longest_levels(spark.createDataFrame(rows, "doc_id bigint, text string"), length=40).collect()}
+    assert got == want and got[5] == 2560 and got[0] == 40
+    assert spans.longest_levels(spark.createDataFrame(rows[-2:], "doc_id bigint, text string"), length=40).count() == 0
+
+
 def test_leftmost_minima():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 5, 500).astype(np.uint64) << np.uint64(40)
