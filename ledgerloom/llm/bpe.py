@@ -7,8 +7,8 @@ each distinct piece is merged once per task while its dictionary lasts.
 
 The merging works on length-bucketed padded matrices of token ids. In every round each row merges its leftmost pair of
 least rank; pairs are looked up in a hash table of the vocabulary, only the pairs beside a merge are looked up again, and
-rows that have no pair left are stored and taken out. Rows of the longest bucket merge all occurrences of that pair in
-the round, which gives the same tokens: a merge never makes a pair of lower rank.
+rows that have no pair left are stored and taken out. Pieces longer than the widest matrix are rows by themselves; there
+the least pair comes from a heap, because a round of a matrix costs the whole row.
 
 Defined results: null and empty texts give the empty list; text that looks like a special token is plain text; texts of
 any length are encoded whole; equal texts get equal lists.
@@ -16,6 +16,7 @@ any length are encoded whole; equal texts get equal lists.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import sys
@@ -29,7 +30,7 @@ import pandas as pd
 CHUNK = 1 << 18
 #: Distinct pieces that a task remembers.
 REMEMBERED_PIECES = 400_000
-#: Widths of the padded matrices; longer pieces get a matrix each.
+#: Widths of the padded matrices; longer pieces are merged one by one.
 WIDTHS = (4, 6, 8, 12, 16, 24, 32, 64, 128)
 #: Cells of a matrix, so that it stays small beside the batch.
 MATRIX_CELLS = 1 << 20
@@ -80,6 +81,8 @@ class Vocabulary:
         right = np.array([vocab[b] for _, b in pairs], np.uint64)
         merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self._fill((left << np.uint64(32)) | right, merged)
+        #: The pairs as a dictionary, made for the first long row: (rank, id) by pair.
+        self.pairs: dict[int, tuple[int, int]] | None = None
 
     def _fill(self, keys: np.ndarray, merged: np.ndarray) -> None:
         self.bits = max(4, int(len(keys) * 4 - 1).bit_length())
@@ -158,25 +161,45 @@ class Vocabulary:
         return done
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long row: per round, all occurrences of the pair of least rank, from the left, without overlaps."""
-        rank, new = self.lookup(ids[:-1], ids[1:])
-        while len(rank):
-            best = rank.min()
-            if best == NO_RANK:
-                break
-            at = np.flatnonzero(rank == best)
-            if len(at) > 1:
-                # in a stretch of overlapping occurrences, every other one
-                starts = np.concatenate([[True], np.diff(at) > 1])
-                head = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - head) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = new[at]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids = ids[keep]
-            rank, new = self.lookup(ids[:-1], ids[1:])
-        return ids
+        """One long row: the pair of least rank, the leftmost of equals, again and again, from a heap.
+
+        A merge looks up only the two pairs beside it, so the work is that of sorting the row's pairs.
+        """
+        if self.pairs is None:
+            filled = np.flatnonzero(self.keys != np.uint64(2**64 - 1))
+            self.pairs = dict(zip(self.keys[filled].tolist(), zip(self.slot_rank[filled].tolist(), self.slot_id[filled].tolist(), strict=True), strict=True))
+        pairs, tokens, n = self.pairs, ids.tolist(), len(ids)
+        rank, _ = self.lookup(ids[:-1], ids[1:])
+        at = np.flatnonzero(rank != NO_RANK)
+        # an entry is (rank, place); it is outdated unless the pair at its place still has that rank
+        heap = ((rank[at].astype(np.int64) << 40) | at).tolist()
+        heapq.heapify(heap)
+        place, before, after = (1 << 40) - 1, list(range(-1, n - 1)), [*range(1, n), -1]
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            entry = pop(heap)
+            k = entry & place
+            left, right = tokens[k], after[k]
+            if left < 0 or right < 0:
+                continue
+            found = pairs.get((left << 32) | tokens[right])
+            if found is None or found[0] != entry >> 40:
+                continue
+            tokens[k], tokens[right] = found[1], -1
+            beyond = after[right]
+            after[k] = beyond
+            if beyond >= 0:
+                before[beyond] = k
+                found = pairs.get((tokens[k] << 32) | tokens[beyond])
+                if found is not None:
+                    push(heap, (found[0] << 40) | k)
+            behind = before[k]
+            if behind >= 0:
+                found = pairs.get((tokens[behind] << 32) | tokens[k])
+                if found is not None:
+                    push(heap, (found[0] << 40) | behind)
+        out = np.array(tokens, np.int32)
+        return out[out >= 0]
 
     def merge_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all pieces one after the other, number of tokens of each); pieces are slices of ``data``."""

@@ -33,6 +33,10 @@ ERROR = 0.005
 #: Rows that a task summarises at a time, and the partials that are merged at once.
 BATCH_ROWS = 2_000_000
 FAN_IN = 64
+#: Bytes of partials that a merging task collects before it merges the whole groups among them.
+FLUSH_BYTES = 32 << 20
+#: Bytes of partials that a merging task is meant to read; sets the number of tasks.
+TASK_BYTES = 128 << 20
 #: Percentiles in thousandths.
 PERMILLE = (500, 900, 990)
 
@@ -157,20 +161,41 @@ def _summarise_task(keys: Sequence[str], error: float):
 
 
 def _merge_task(keys: Sequence[str], error: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        names = [*keys, "part"]
-        codes, distinct = _codes(table.select(names).to_pandas(types_mapper=pd.ArrowDtype))
+    """Merges rows that come in order of ``keys`` and ``part``: whole groups at a time, as soon as enough are there."""
+    names = [*keys, "part"]
+
+    def merged(table: pa.Table, codes: np.ndarray, distinct: pd.DataFrame) -> pa.RecordBatch:
         flat = [table.column(c).combine_chunks() for c in ("value", "low", "high")]
         flat = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in flat]
         at = flat[0].offsets.to_numpy() - flat[0].offsets[0].as_py()
         value, low, high = (c.flatten().to_numpy(zero_copy_only=False) for c in flat)
         found, n, at, value, low, high = merge(codes, table.column("n").to_numpy(), at, value, low, high)
         at, value, low, high = compress(n, at, value, low, high, error)
-        yield _rows(distinct, table.schema, (found, n, at, value, low, high), {})
+        return _rows(distinct, table.schema, (found, n, at, value, low, high), {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, limit = 0, FLUSH_BYTES
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < limit:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            codes, _ = _codes(table.select(names).to_pandas(types_mapper=pd.ArrowDtype))
+            # the last group may go on; the rows before it are whole groups
+            done = int(np.flatnonzero(codes == codes[-1])[0])
+            if done:
+                whole = table.slice(0, done)
+                yield merged(whole.combine_chunks(), *_codes(whole.select(names).to_pandas(types_mapper=pd.ArrowDtype)))
+            held = table.slice(done).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
+            limit = max(FLUSH_BYTES, 2 * size)
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield merged(table, *_codes(table.select(names).to_pandas(types_mapper=pd.ArrowDtype)))
 
     return run
 
@@ -193,11 +218,13 @@ def merge_summaries(found: DataFrame, keys: Sequence[str], error: float = ERROR,
 
     There is one round at least, because a partition may hold several summaries of a group.
     """
-    parts = (found.agg(F.max("part").alias("m")).first()["m"] or 0) + 1
     schema = f"{_types(found, keys)}, part bigint, {_SUMMARY}"
+    asked = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        parts = -(-parts // FAN_IN)
-        dealt = found.withColumn("part", F.call_function("div", F.col("part"), F.lit(FAN_IN))).repartition(*keys, "part")
+        size = found.agg(F.max("part").alias("part"), F.sum(F.size("value") * 24 + 100).alias("bytes")).first()
+        parts = -(-((size["part"] or 0) + 1) // FAN_IN)
+        dealt = found.withColumn("part", F.call_function("div", F.col("part"), F.lit(FAN_IN)))
+        dealt = dealt.repartition(max(asked, -(-(size["bytes"] or 0) // TASK_BYTES)), *keys, "part").sortWithinPartitions(*keys, "part")
         found = dealt.mapInArrow(_merge_task(keys, permitted(error, level)), schema)
         level += 1
         if parts == 1:

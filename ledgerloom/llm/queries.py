@@ -14,6 +14,8 @@ from ledgerloom.tables import clean_id, day_text, table, utc_day
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Groups (100 bytes each) whose answers may be broadcast to their values; more are joined by shuffle.
+MAX_GROUPS = 100_000
 #: Group and day of every measured value: ``measure`` names table and column, ``member`` the model version or merchant.
 _KEYS = ["measure", "member", "day"]
 
@@ -40,6 +42,33 @@ def p4_period(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(daily, keys), keys)
 
 
+#: Error bound of ``p4_rank_check``, so wide that summaries of the small test data are compressed at every level.
+WIDE_ERROR = 0.02
+
+
+def p4_rank_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each answer for the whole period, from daily summaries with a wide error bound, keeps its promises.
+
+    ``is_known``: its rank among all values is as near to the asked one as ``rank_error`` says; ``is_bounded``:
+    ``rank_error`` is within the bound; ``is_compressed``: the summary kept fewer values than there are.
+    """
+    keys, values = ["measure", "member"], _values(spark, d)
+    daily = materialize(quantiles.build_summaries(values, _KEYS, "x", WIDE_ERROR), "daily")
+    period = materialize(quantiles.combine(daily, keys, WIDE_ERROR), "period")
+    sized = period.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.size("value") < F.col("n")).alias("is_compressed"))
+    answers = quantiles.percentiles(period, keys).join(sized, F.col("measure").eqNullSafe(F.col("_measure")) & F.col("member").eqNullSafe(F.col("_member"))).drop("_measure", "_member")
+    asked = answers.groupBy(*keys, "n", "is_compressed").agg(F.collect_list(F.struct("permille", "percentile", "rank_error")).alias("asked"))
+    asked = asked.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "is_compressed", "asked")
+    # a row of few answers per group meets the group's values, which are counted before anything is shuffled
+    real = values.filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    met = real.join(F.broadcast(asked) if asked.count() <= MAX_GROUPS else asked, F.col("measure").eqNullSafe(F.col("_measure")) & F.col("member").eqNullSafe(F.col("_member")))
+    cells = met.select(*keys, "n", "is_compressed", "x", F.explode("asked").alias("a")).select(*keys, "n", "is_compressed", "x", "a.*")
+    ranks = cells.groupBy(*keys, "n", "is_compressed", "permille", "rank_error").agg(F.count_if(F.col("x") < F.col("percentile")).alias("below"), F.count_if(F.col("x") <= F.col("percentile")).alias("upto"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("permille") * F.col("n") / F.lit(1000)))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - rank, rank - F.col("upto"))
+    return ranks.select(*keys, "n", "permille", (off <= F.col("rank_error")).alias("is_known"), (F.col("rank_error") <= F.greatest(F.lit(1.0), F.col("n") * WIDE_ERROR)).alias("is_bounded"), (F.col("is_compressed") | (F.col("n") < 2 / WIDE_ERROR)).alias("is_compressed"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"))
 
@@ -56,6 +85,21 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_containers(spark, d))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents placed, containers over the capacity, pieces placed twice, pieces missing, documents cut though they fit."""
+    sizes = materialize(encode.token_counts(table(spark, d, "documents")), "sizes")
+    placed = materialize(packing.containers(sizes), "placed")
+    report = packing.fill_report(placed).select("n_over", (F.col("n_containers") >= F.col("least_containers")).alias("is_possible"))
+    twice = placed.groupBy("doc_id", "piece").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_twice"))
+    docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("n_pieces"))
+    checked = sizes.filter("n_tokens > 0").join(docs, "doc_id", "left").agg(
+        F.count("placed").alias("n_documents"), F.count_if(~F.col("placed").eqNullSafe(F.col("n_tokens"))).alias("n_incomplete"),
+        F.count_if((F.col("n_tokens") <= packing.CAPACITY) & (F.col("n_pieces") > 1)).alias("n_cut"),
+    )
+    one = F.lit(1).alias("_one")
+    return report.select("*", one).join(twice.select("*", one), "_one").join(checked.select("*", one), "_one").drop("_one")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
@@ -68,14 +112,15 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return spans.longest_levels(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_daily, p4_period, p6_ids, p7_containers, p7_report, p8_found, p8_shares, p8_levels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_daily, p4_period, p4_rank_check, p6_ids, p7_containers, p7_report, p7_invariants, p8_found, p8_shares, p8_levels)}
 
-#: Daily groups of the small data keep every value, so there the answers are exact.
-_DAILY_SQL = """WITH v AS (
+_VALUES_SQL = """v AS (
   SELECT 'decision_events.risk_score' measure, model_version member, CAST(event_date AS VARCHAR) AS day, CAST(risk_score AS DOUBLE) x FROM decision_events
   UNION ALL SELECT 'decision_events.model_probability', model_version, CAST(event_date AS VARCHAR), model_probability FROM decision_events
   UNION ALL SELECT 'payment_status_counts.amount_minor', nullif(lower(trim(merchant_id, ' ')), ''), strftime(snapshot_at AT TIME ZONE 'UTC', '%Y-%m-%d'), CAST(amount_minor AS DOUBLE) FROM payment_status_counts
-  UNION ALL SELECT 'payment_events.amount_minor', nullif(lower(trim(merchant_id, ' ')), ''), CAST(event_date AS VARCHAR), CAST(amount_minor AS DOUBLE) FROM payment_events),
+  UNION ALL SELECT 'payment_events.amount_minor', nullif(lower(trim(merchant_id, ' ')), ''), CAST(event_date AS VARCHAR), CAST(amount_minor AS DOUBLE) FROM payment_events)"""
+#: Daily groups of the small data keep every value, so there the answers are exact; see ``p4_rank_check`` for others.
+_DAILY_SQL = f"""WITH {_VALUES_SQL},
 r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY measure, member, day) AS n FROM v WHERE x IS NOT NULL AND NOT isnan(x) WINDOW w AS (PARTITION BY measure, member, day ORDER BY x)),
 p AS (SELECT unnest([500, 900, 990]) AS permille)
 SELECT measure, member, day, n, CAST(permille AS INTEGER) AS permille, x AS percentile, CAST(0 AS BIGINT) AS rank_error
@@ -91,4 +136,9 @@ f AS (SELECT doc_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 200 AS
 _SHARES_SQL = """SELECT doc_id, length(text) AS n_chars, coalesce(k, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(k, 0) / length(text) END AS share
 FROM documents LEFT JOIN (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS k FROM f GROUP BY 1) USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"p4_daily": _DAILY_SQL, "p8_found": _SPANS_SQL + "SELECT * FROM f", "p8_shares": _SPANS_SQL + _SHARES_SQL}
+_RANK_SQL = f"""WITH {_VALUES_SQL} SELECT measure, member, n, CAST(unnest([500, 900, 990]) AS INTEGER) AS permille, true AS is_known, true AS is_bounded, true AS is_compressed
+FROM (SELECT measure, member, count(*) AS n FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)"""
+#: Every text with a character has a token.
+_INVARIANTS_SQL = "SELECT count(*) FILTER (length(text) > 0) AS n_documents, CAST(0 AS BIGINT) AS n_over, true AS is_possible, CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_incomplete, CAST(0 AS BIGINT) AS n_cut FROM documents"
+
+ORACLE: dict[str, str] = {"p4_daily": _DAILY_SQL, "p4_rank_check": _RANK_SQL, "p7_invariants": _INVARIANTS_SQL, "p8_found": _SPANS_SQL + "SELECT * FROM f", "p8_shares": _SPANS_SQL + _SHARES_SQL}

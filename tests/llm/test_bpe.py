@@ -65,6 +65,19 @@ def test_long_rows_merge_alike(public):
     assert bpe.encoder().encode(texts) == public(texts)
 
 
+def test_very_long_rows(public):
+    import random
+    import time
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(60_000)) for letters in ("etaoinshrdlu", "ab", "aé日")] + ["a" * 60_001]
+    assert bpe.encoder().encode(texts) == public(texts)
+    # a run of a megabyte takes a time in proportion to its length
+    began = time.perf_counter()
+    bpe.encoder().encode(["".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 40
+
+
 def test_frames(spark, data, public):
     rows = [(1, "a b", 5), (2, None, 6), (3, "", 7), (1, "a b", 5), (4, "<|endoftext|>", 1)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")

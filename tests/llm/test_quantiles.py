@@ -62,9 +62,11 @@ def check_answers(found, values, error):
         assert r.n == len(own) and off <= r.rank_error <= max(0.5, error * len(own)), (r, a, b, rank)
 
 
-@pytest.mark.parametrize("fan_in", [2, 64])
-def test_frames_and_periods(spark, monkeypatch, fan_in):
+@pytest.mark.parametrize(("fan_in", "flush"), [(2, 32 << 20), (64, 32 << 20), (64, 2_000), (2, 500)])
+def test_frames_and_periods(spark, monkeypatch, fan_in, flush):
     monkeypatch.setattr(Q, "FAN_IN", fan_in)
+    monkeypatch.setattr(Q, "FLUSH_BYTES", flush)
+    monkeypatch.setattr(Q, "TASK_BYTES", 100_000)
     monkeypatch.setattr(Q, "BATCH_ROWS", 400)
     rng = np.random.default_rng(2)
     values = {"hot": rng.lognormal(8, 3, 9000).round(), "ties": rng.integers(0, 5, 3000).astype(float), "few": rng.normal(size=7), "one": np.array([4.0])}
