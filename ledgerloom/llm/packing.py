@@ -22,17 +22,14 @@ from pyspark.sql import functions as F
 from ledgerloom.session import materialize
 
 CAPACITY = 2048
-#: Items of one group: bounds a task's work and memory.
-GROUP_ITEMS = 10_000
+#: Items of one group: bounds a task's work (the search may look at all pairs of a group's underfull bins) and memory.
+GROUP_ITEMS = 4_000
 #: Up to so many groups get a task each; of more, a task gets so many.
 MANY_TASKS, GROUPS_PER_TASK = 4_000, 16
 #: A container with less unused than this share is closed at its level.
 CLOSED_SHARE = 0.004
 #: Levels at most; the last one closes what is left. 10,000 ** levels exceeds any number of items long before.
 MAX_LEVELS = 6
-#: The search's effort: rounds over a group's underfull bins, and receivers in a row that a giver tries in vain.
-ROUNDS = 8
-TRIES = 120
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -59,26 +56,26 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, closed_free: int, rounds: int = ROUNDS) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, closed_free: int) -> list[list[int]]:
     """Local search over the bins with more than ``closed_free`` unused, the emptiest ones as givers.
 
     A giver offers its items to the fuller bins, whose items are indexed by size. With f the receiver's fill, g the
     giver's and d > 0 what the receiver gains, the squared fill rises by 2d(f - g + d), so any gain of a bin that is at
     least as full as the giver counts. The largest gain that fits is taken: a move, an exchange for one smaller item,
-    or two items for one.
+    or two items for one. The search goes on until a whole round finds no exchange at all; it ends because every exchange
+    raises the sum of the squared fills.
     """
     done = [b for b in bins if capacity - sum(int(sizes[k]) for k in b) <= closed_free]
     work = [b for b in bins if capacity - sum(int(sizes[k]) for k in b) > closed_free]
-    for _ in range(rounds):
+    while True:
         fills = [sum(int(sizes[k]) for k in b) for b in work]
         order = sorted(range(len(work)), key=lambda b: (fills[b], b))
         changed = False
         for giver in order:
             if not work[giver]:
                 continue
-            vain = 0
             for receiver in reversed(order):
-                if not work[giver] or vain == TRIES:
+                if not work[giver]:
                     break
                 if receiver == giver:
                     continue
@@ -87,9 +84,7 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, closed_free
                     continue
                 step = best_step([int(sizes[k]) for k in work[giver]], [int(sizes[k]) for k in work[receiver]], free)
                 if step is None:
-                    vain += 1
                     continue
-                vain = 0
                 give, take = step
                 given, taken = [work[giver][i] for i in give], [work[receiver][i] for i in take]
                 gain = sum(int(sizes[k]) for k in given) - sum(int(sizes[k]) for k in taken)
