@@ -33,3 +33,8 @@ def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
         F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3),
         F.lit("-"), nibble, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12),
     )
+
+
+def random_uuid() -> Column:
+    """A random version 4 UUID, another one in every run: for marks that nothing is compared with."""
+    return F.uuid()

@@ -1,7 +1,6 @@
 """Scores against labels: confusion counts, ranking measures, cost and threshold search, histograms, percentiles.
 
-Ranking measures work on one row per distinct score: scores are counted first, so the ordered pass sees at most as many
-rows as there are scores of a stated precision, not events.
+Ranking measures work on one row per distinct score, in order within buckets of scores, so no task sees all of them.
 """
 
 from __future__ import annotations
@@ -25,16 +24,24 @@ def confusion(scored: DataFrame, threshold: float, score: str = "score", label:
     return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(tp * 2.0, tp * 2 + fp + fn)})
 
 
-def ranking(scored: DataFrame, decimals: int = 6, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: roc_auc (ties count half) and average_precision, of scores rounded to ``decimals``."""
-    grouped = scored.groupBy(F.round(score, decimals).alias("s")).agg(F.count_if(F.col(label) == 1).cast("double").alias("pos"), F.count_if(F.col(label) != 1).cast("double").alias("neg"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one row per distinct score, at most 10**decimals + 1 for probabilities
-    line = grouped.withColumns({"cum_pos": F.sum("pos").over(down), "cum_neg": F.sum("neg").over(down)})
-    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
-    precision = F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))))
-    totals = line.agg(area.alias("area"), precision.alias("ap"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return totals.select(F.when(F.col("p") * F.col("n") > 0, F.col("area") / (F.col("p") * F.col("n"))).alias("roc_auc"), F.when(F.col("p") > 0, F.col("ap") / F.col("p")).alias("average_precision"))
+def ranking(scored: DataFrame, score: str = "score", label: str = "label", buckets: int = 10_000) -> DataFrame:
+    """One row: roc_auc (ties count half) and average_precision, of probabilities as they are.
+
+    Scores are counted, then put in order within buckets of their value; what lies above a bucket is a running sum over
+    the buckets' totals, the only ordered pass in one task, over ``buckets`` + 1 rows at most.
+    """
+    counted = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).cast("double").alias("pos"), F.count_if(F.col(label) != 1).cast("double").alias("neg"))
+    grouped = counted.withColumn("b", F.least(F.lit(buckets), F.greatest(F.lit(0), F.floor(F.col("s") * buckets))).cast("int"))
+    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = grouped.groupBy("b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    offsets = totals.select("b", F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("p_above"), F.coalesce(F.sum("n").over(above), F.lit(0.0)).alias("n_above"))
+    down = Window.partitionBy("b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = grouped.withColumns({"pos_in": F.sum("pos").over(down), "neg_in": F.sum("neg").over(down)}).join(F.broadcast(offsets), "b")
+    cum_pos, cum_neg = F.col("pos_in") + F.col("p_above"), F.col("neg_in") + F.col("n_above")
+    area = F.sum(F.col("neg") * (cum_pos - F.col("pos") / 2))
+    precision = F.sum(F.when(F.col("pos") > 0, F.col("pos") * cum_pos / (cum_pos + cum_neg)))
+    whole = line.agg(area.alias("area"), precision.alias("ap"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return whole.select(F.when(F.col("p") * F.col("n") > 0, F.col("area") / (F.col("p") * F.col("n"))).alias("roc_auc"), F.when(F.col("p") > 0, F.col("ap") / F.col("p")).alias("average_precision"))
 
 
 def costs(scored: DataFrame, missed: int, false_alarm: int, score: str = "score", label: str = "label") -> DataFrame:

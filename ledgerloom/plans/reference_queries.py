@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,6 +233,22 @@ def delay_histogram(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.cumulative_histogram(timed, "s", (0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 300), "country")
 
 
+def stream_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What became of the records by stream and topic: accepted, repeated or rejected. Counted per event before topics are."""
+    parts = []
+    for name in domain.TOPICS:
+        rows = domain.checked(spark, d, name).select("source_topic", (F.col("errors") != "").alias("bad"), clean_id("event_id").alias("event_id"), "delivery_id")
+        per_event = rows.filter("NOT bad").groupBy("event_id", "source_topic").agg(F.count("*").alias("n"), F.min("delivery_id").alias("first"))
+        # an event may come by several topics; it is accepted where it came first
+        firsts = per_event.groupBy("event_id").agg(F.min("first").alias("accepted"))
+        split = per_event.join(firsts, "event_id").select("source_topic", F.when(F.col("first") == F.col("accepted"), 1).otherwise(0).alias("accepted"), "n")
+        counts = split.groupBy("source_topic").agg(F.sum("accepted").alias("accepted"), F.sum(F.col("n") - F.col("accepted")).alias("repeated"))
+        rejected = rows.filter("bad").groupBy("source_topic").agg(F.count("*").alias("rejected"))
+        cells = counts.select("source_topic", F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("n")) for o in ("accepted", "repeated")])))
+        parts += [df.select(F.lit(name).alias("stream_table"), "source_topic", "outcome", "n") for df in (cells, rejected.select("source_topic", F.lit("rejected").alias("outcome"), F.col("rejected").alias("n")))]
+    return reduce(DataFrame.unionByName, parts).filter("n > 0")
+
+
 def load_summary(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "payment_events")
     seconds = (F.unix_micros(F.max("ingested_at")) - F.unix_micros(F.min("ingested_at"))) / F.lit(1e6)
@@ -428,7 +446,7 @@ QUERIES: dict[str, Query] = {
         metrics_inspection, payments_current, payment_summary, decision_summary, processing_summary, operational_gauges, recent_decisions,
         latest_versions, pending_reviews, next_due_events, attention_count, newest_decision, decisions_by_day, dispositions, outcome_shares,
         reconciliation_report, reconciliation_counts, reported_exceptions_by_code, outbox_cardinality, exception_context, delay_percentiles,
-        decision_delay_percentiles, delay_histogram, load_summary, score_confusion, score_ranking, threshold_costs, best_threshold, positive_rate,
+        decision_delay_percentiles, delay_histogram, stream_counters, load_summary, score_confusion, score_ranking, threshold_costs, best_threshold, positive_rate,
         customer_features, customer_features_hourly, created_requests, request_outcomes, request_violations, canonical_ids, event_fingerprints, decisions_applied, audit_log,
         reviews_resolved, outbox_drained, outbox_envelope_errors, forbidden_changes, snapshot_contract, request_fingerprints, deterministic_ids, coordinate_conflicts, retry_backoff, outbox_payloads,
     )

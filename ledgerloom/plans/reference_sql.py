@@ -208,11 +208,14 @@ ORACLE: dict[str, str] = {
     "delay_percentiles": _percentiles("publish_ms"),
     "decision_delay_percentiles": _percentiles("decision_ms"),
     "delay_histogram": _query(_HISTOGRAM + " UNION ALL SELECT country, '+Inf', count(decision_ms) FROM delays GROUP BY country", "delays"),
+    "stream_counters": _query("""SELECT stream_table, source_topic, outcome, count(*) AS n FROM (
+  SELECT 'payment_events' AS stream_table, source_topic, CASE WHEN errors <> '' THEN 'rejected' WHEN row_number() OVER (PARTITION BY errors <> '', lower(trim(event_id, ' ')) ORDER BY delivery_id) = 1 THEN 'accepted' ELSE 'repeated' END AS outcome FROM chp
+  UNION ALL SELECT 'decision_events', source_topic, CASE WHEN errors <> '' THEN 'rejected' WHEN row_number() OVER (PARTITION BY errors <> '', lower(trim(event_id, ' ')) ORDER BY delivery_id) = 1 THEN 'accepted' ELSE 'repeated' END FROM chk) GROUP BY ALL""", "chp", "chk"),
     "load_summary": f"SELECT count(*) AS n_requests, count(DISTINCT {_id('payment_id')}) AS n_payments, count(*) FILTER (status = 'PENDING_RISK') AS n_accepted, count(*) FILTER (status IS DISTINCT FROM 'PENDING_RISK') AS n_other, count(*) / ((epoch_us(max(ingested_at)) - epoch_us(min(ingested_at))) / 1e6) AS per_second, avg(epoch_us(ingested_at) // 1000 - epoch_us(kafka_timestamp) // 1000) AS wait_ms_avg, min(amount_minor) AS least, max(amount_minor) AS greatest FROM payment_events",
     "score_confusion": _query("""SELECT *, coalesce(round_even(tp / nullif(tp + fp, 0), 6), 0) AS precision, coalesce(round_even(tp / nullif(tp + fn, 0), 6), 0) AS recall, coalesce(round_even(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1
   FROM (SELECT count(*) FILTER (score < 0.05 AND label = 0) AS tn, count(*) FILTER (score >= 0.05 AND label = 0) AS fp, count(*) FILTER (score < 0.05 AND label = 1) AS fn, count(*) FILTER (score >= 0.05 AND label = 1) AS tp FROM lab)""", "lab"),
     "score_ranking": _query("""SELECT round(sum(neg * (cp - pos / 2)) / nullif(sum(pos) * sum(neg), 0), 9) AS roc_auc, round(sum(pos * cp / (cp + cn)) / nullif(sum(pos), 0), 9) AS average_precision FROM (
-  SELECT pos, neg, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM (SELECT round(score, 6) AS s, CAST(count(*) FILTER (label = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (label = 0) AS DOUBLE) AS neg FROM lab GROUP BY 1) WINDOW w AS (ORDER BY s DESC))""", "lab"),
+  SELECT pos, neg, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM (SELECT score AS s, CAST(count(*) FILTER (label = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (label = 0) AS DOUBLE) AS neg FROM lab GROUP BY 1) WINDOW w AS (ORDER BY s DESC))""", "lab"),
     "threshold_costs": _query("SELECT CAST(t AS INTEGER) AS threshold, CAST(500 * count(*) FILTER (label = 1 AND floor(round(score * 100, 9)) < t) + 25 * count(*) FILTER (label = 0 AND floor(round(score * 100, 9)) >= t) AS BIGINT) AS cost FROM lab, range(1, 100) r(t) GROUP BY t", "lab"),
     "best_threshold": _query("SELECT CAST(t AS INTEGER) AS threshold, CAST(500 * count(*) FILTER (label = 1 AND floor(round(score * 100, 9)) < t) + 25 * count(*) FILTER (label = 0 AND floor(round(score * 100, 9)) >= t) AS BIGINT) AS cost FROM lab, range(1, 100) r(t) GROUP BY t ORDER BY 2, 1 LIMIT 1", "lab"),
     "positive_rate": _query("SELECT count(*) AS n, avg(label) AS positive_rate FROM lab", "lab"),

@@ -8,7 +8,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.commits import AlreadyCommitted
 from ledgerloom.operators import changes, snapshot
+from ledgerloom.operators.versioned import Forbidden, VersionedTable
 from ledgerloom.streaming.supervise import retrying
 
 NOW = datetime(2026, 8, 30, 12, tzinfo=timezone.utc)
@@ -146,3 +148,37 @@ def test_retries():
         retrying(lambda *_: (_ for _ in ()).throw(ValueError("bad row")), attempts=4, sleep=waits.append)("batch", 1)
     with pytest.raises(OSError):
         retrying(lambda *_: (_ for _ in ()).throw(OSError("down")), attempts=2, sleep=waits.append)("batch", 1)
+
+
+def rows_of(table):
+    return sorted(tuple(r) for r in table.read().collect())
+
+
+def test_versioned_table(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int, at int, gone boolean")
+    assert table.read() is None
+    table.upsert(frame([("a", 1, 1, None), ("a", 2, 2, None), ("b", 1, 1, None)]), ["at"])
+    table.upsert(frame([("b", 9, 3, True), ("c", 5, 3, None), ("a", None, 3, False)]), ["at"], F.col("gone"))
+    assert [r[:2] for r in rows_of(table)] == [("a", None), ("c", 5)] and table.version() == 2
+    assert sorted(r.k for r in table.read(1).collect()) == ["a", "b"]
+    table.upsert(frame([]), ["at"])
+    assert [r[:2] for r in rows_of(table)] == [("a", None), ("c", 5)]
+    with pytest.raises(Forbidden):
+        table.upsert(frame([(None, 1, 1, None)]), ["at"])
+    stale = VersionedTable(spark, f"file://{tmp_path}/t", "k")
+    stale.version = lambda: 2
+    with pytest.raises(AlreadyCommitted):
+        stale.upsert(frame([("z", 1, 1, None)]), ["at"])
+    assert [r[0] for r in rows_of(table)] == ["a", "c"]
+
+
+def test_append_only_table(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k", append_only=True)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    table.upsert(frame([("a", 1), ("b", None)]), ["v"])
+    table.upsert(frame([("a", 1), ("b", None), ("c", 3)]), ["v"])
+    for bad, deleted in (([("a", 2)], None), ([("b", 0)], None), ([("c", 3)], F.lit(True))):
+        with pytest.raises(Forbidden):
+            table.upsert(frame(bad), ["v"], deleted)
+    assert rows_of(table) == [("a", 1), ("b", None), ("c", 3)]

@@ -51,3 +51,11 @@ def test_rules_keep_order_and_ignore_null_conditions(spark):
 def test_json_keys(spark):
     found = values(spark, ['{"a":1,"b":2}', '{"b":2,"a":null}', '{"a":1}', '{"a":1,"b":2,"c":3}', "x", None], X.json_keys_differ("v", ["a", "b"]))
     assert found == [(False,), (False,), (True,), (True,), (None,), (None,)]
+
+
+def test_random_ids(spark):
+    from ledgerloom.functions import hashing
+    from ledgerloom.functions import text as X
+
+    found = spark.range(200).select(hashing.random_uuid().alias("u")).withColumn("good", X.is_uuid4("u")).collect()
+    assert len({r.u for r in found}) == 200 and all(r.good for r in found)

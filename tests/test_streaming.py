@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import lateness
 from ledgerloom.sources.records import RECORD_SCHEMA, replayed_stream
-from ledgerloom.streaming import hourly, lake, online, sinks
+from ledgerloom.streaming import hourly, inspect, lake, online, sinks
 from ledgerloom.streaming.supervise import lag, supervise
 from tests.test_operators import U, decision, payment
 
@@ -75,6 +75,9 @@ def test_lake_job(spark, tmp_path):
     rows = {name: lake.read_table(spark, f"{root}/out", name).collect() for name in lake.LOGS}
     assert sorted(r.event_id for r in rows["payments"]) == [U(5), U(8)]
     assert len(rows["decisions"]) == 1 and len(rows["quarantine"]) == 2
+    told = json.loads(inspect.summary(spark, f"{root}/out"))
+    assert told["payments"] == [{"rows": 2, "distinct_event_id": 2, "distinct_payment_id": 1}] and {r["error_code"]: r["rows"] for r in told["quarantine"]}["unsupported_topic"] == 1
+    assert json.loads(inspect.summary(spark, f"{root}/nothing")) == {}
     found = lake.read_deltas(spark, f"{root}/out").collect()
     assert {(r.dimension_type, r.dimension_value): (r.event_count, r.amount_minor_sum) for r in found if r.metric_family == "payment_volume"} == {("overall", "ALL"): (2, 250000), ("merchant", "merchant-1"): (2, 250000), ("country", "IN"): (2, 250000)}
     assert sum(r.event_count for r in found if r.metric_family == "quarantine_error" and r.metric_bucket == "unsupported_topic") == 1
