@@ -136,9 +136,22 @@ f AS (SELECT doc_id, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 200 AS
 _SHARES_SQL = """SELECT doc_id, length(text) AS n_chars, coalesce(k, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(k, 0) / length(text) END AS share
 FROM documents LEFT JOIN (SELECT doc_id, CAST(sum(span_end - span_start) AS BIGINT) AS k FROM f GROUP BY 1) USING (doc_id)"""
 
+
+
+def _levels_sql(levels: int = 12) -> str:
+    """Levels of 200 * 2**k: a window of twice the length is the pair of its halves, named by the first of their kind."""
+    steps = ["""l0 AS (SELECT doc_id, i, min(doc_id * 100000000 + i) OVER (PARTITION BY s) AS g, min(doc_id) OVER (PARTITION BY s) <> max(doc_id) OVER (PARTITION BY s) AS shared
+  FROM (SELECT doc_id, i, substring(text, CAST(i + 1 AS BIGINT), 200) AS s FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)))"""]
+    for k in range(levels):
+        steps.append(f"""l{k + 1} AS (SELECT doc_id, i, min(doc_id * 100000000 + i) OVER (PARTITION BY g, h) AS g, min(doc_id) OVER (PARTITION BY g, h) <> max(doc_id) OVER (PARTITION BY g, h) AS shared
+  FROM (SELECT a.doc_id, a.i, a.g, b.g AS h FROM l{k} a JOIN l{k} b ON b.doc_id = a.doc_id AND b.i = a.i + {200 << k} WHERE a.shared AND b.shared))""")
+    found = " UNION ALL ".join(f"SELECT DISTINCT doc_id, {200 << k} AS level FROM l{k} WHERE shared" for k in range(levels + 1))
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, CAST(max(level) AS INTEGER) AS longest_level FROM ({found}) GROUP BY doc_id"
+
+
 _RANK_SQL = f"""WITH {_VALUES_SQL} SELECT measure, member, n, CAST(unnest([500, 900, 990]) AS INTEGER) AS permille, true AS is_known, true AS is_bounded, true AS is_compressed
 FROM (SELECT measure, member, count(*) AS n FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)"""
 #: Every text with a character has a token.
 _INVARIANTS_SQL = "SELECT count(*) FILTER (length(text) > 0) AS n_documents, CAST(0 AS BIGINT) AS n_over, true AS is_possible, CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_incomplete, CAST(0 AS BIGINT) AS n_cut FROM documents"
 
-ORACLE: dict[str, str] = {"p4_daily": _DAILY_SQL, "p4_rank_check": _RANK_SQL, "p7_invariants": _INVARIANTS_SQL, "p8_found": _SPANS_SQL + "SELECT * FROM f", "p8_shares": _SPANS_SQL + _SHARES_SQL}
+ORACLE: dict[str, str] = {"p4_daily": _DAILY_SQL, "p4_rank_check": _RANK_SQL, "p7_invariants": _INVARIANTS_SQL, "p8_found": _SPANS_SQL + "SELECT * FROM f", "p8_shares": _SPANS_SQL + _SHARES_SQL, "p8_levels": _levels_sql()}
