@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as X
 from ledgerloom.session import materialize
 
 #: Dispositions and codes of rejections.
@@ -27,6 +28,14 @@ ACTIONS = {"APPROVE": ("APPROVED", "ALLOWED", "MANUAL_REVIEW_APPROVED"), "REJECT
 #: Milliseconds of the first and the longest wait between attempts, and the longest error text.
 FIRST_WAIT_MS, LONGEST_WAIT_MS, ERROR_CHARACTERS = 100, 5_000, 2_000
 
+#: What is said of a request's fields.
+MISSING, TOO_LONG, NOT_POSITIVE, NO_CURRENCY, NO_COUNTRY = "is required", "must be at most 255 characters", "must be greater than zero", "must be a three-letter currency code", "must be a two-letter country code"
+#: What is said of an outbox event, in this order.
+ENVELOPE_MESSAGES = {
+    "id": "event_id is required", "event_type": "event_type is required", "aggregate_id": "aggregate_id is required", "schema_version": "schema_version must be positive",
+    "occurred_at": "occurred_at is required", "trace_id": "trace_id is required", "payload": "payload must be a JSON object",
+}
+
 
 def create(requests: DataFrame, key: str, fingerprint: str, order: Sequence[str], known: DataFrame | None = None) -> DataFrame:
     """``requests`` with ``outcome`` and ``made_by``: the first of a key is CREATED, an equal later one REPLAYED, another CONFLICT.
@@ -153,12 +162,9 @@ def envelope_error(payload: str = "payload") -> Column:
     # as the only element of an array, so that nothing may follow the object
     only = F.concat(F.lit("["), F.col(payload), F.lit("]"))
     is_object = F.coalesce((F.json_array_length(only) == 1) & F.try_parse_json(only).isNotNull() & text.startswith("{"), F.lit(False))
-    steps = [
-        (blank("id"), "event_id is required"), (blank("event_type"), "event_type is required"), (blank("aggregate_id"), "aggregate_id is required"),
-        (F.coalesce(F.col("schema_version") < 1, F.lit(True)), "schema_version must be positive"), (F.col("occurred_at").isNull(), "occurred_at is required"), (blank("trace_id"), "trace_id is required"),
-        (~is_object, "payload must be a JSON object"),
-    ]
-    return F.coalesce(*[F.when(condition, F.lit(message)) for condition, message in steps])
+    found = {c: blank(c) for c in ("id", "event_type", "aggregate_id", "trace_id")}
+    found |= {"schema_version": F.coalesce(F.col("schema_version") < 1, F.lit(True)), "occurred_at": F.col("occurred_at").isNull(), "payload": ~is_object}
+    return F.coalesce(*[F.when(found[c], F.lit(message)) for c, message in ENVELOPE_MESSAGES.items()])
 
 
 def drain(outbox: DataFrame, now: Column, publish_error: Column, supported: Sequence[str]) -> DataFrame:
@@ -177,7 +183,7 @@ def drain(outbox: DataFrame, now: Column, publish_error: Column, supported: Sequ
         "outcome": F.when(F.col("_permanent").isNotNull(), "DEAD_LETTERED").when(failed, "RETRY").otherwise("PUBLISHED"),
         "published_at": F.when(~failed, now), "dead_lettered_at": F.when(F.col("_permanent").isNotNull(), now), "last_attempt_at": now, "delivery_attempts": attempt,
         "next_attempt_at": F.when(failed, F.timestamp_micros(F.unix_micros(now) + backoff_ms(attempt) * 1000)).otherwise(F.col("next_attempt_at")),
-        "last_error": F.when(failed, F.left("_error", F.lit(ERROR_CHARACTERS))).otherwise(F.col("last_error")),
+        "last_error": F.when(failed, X.cut("_error", ERROR_CHARACTERS)).otherwise(F.col("last_error")),
     }
     return tried.withColumns(changed).drop("_permanent", "_error")
 
@@ -186,12 +192,12 @@ def request_errors() -> Column:
     """Field names and messages of what is wrong with a request (already normalized), as a map; empty if nothing is."""
     def identifier(c: str) -> Column:
         value = F.coalesce(F.col(c), F.lit(""))
-        return F.when(value == "", "is required").when(F.length(value) > 255, "must be at most 255 characters")
+        return F.when(value == "", MISSING).when(F.length(value) > 255, TOO_LONG)
 
     found = {c: identifier(c) for c in ("customer_id", "merchant_id", "device_id")}
-    found["amount_minor"] = F.when(F.coalesce(F.col("amount_minor") <= 0, F.lit(True)), "must be greater than zero")
-    found["currency"] = F.when(~F.coalesce(F.col("currency").rlike(r"^[A-Z]{3}\z"), F.lit(False)), "must be a three-letter currency code")
-    found["country"] = F.when(~F.coalesce(F.col("country").rlike(r"^[A-Z]{2}\z"), F.lit(False)), "must be a two-letter country code")
+    found["amount_minor"] = F.when(F.coalesce(F.col("amount_minor") <= 0, F.lit(True)), NOT_POSITIVE)
+    found["currency"] = F.when(~F.coalesce(F.col("currency").rlike(r"^[A-Z]{3}\z"), F.lit(False)), NO_CURRENCY)
+    found["country"] = F.when(~F.coalesce(F.col("country").rlike(r"^[A-Z]{2}\z"), F.lit(False)), NO_COUNTRY)
     cells = F.array(*[F.struct(F.lit(name).alias("field"), message.alias("message")) for name, message in found.items()])
     return F.map_from_entries(F.filter(cells, lambda c: c["message"].isNotNull()))
 

@@ -190,7 +190,8 @@ _SPELLED = r"""CASE WHEN regexp_matches(raw_value, '^\s*\{\s*''') THEN replace(r
 
 def _lake_tables() -> str:
     """Tables e0, e1: a topic's records with the last value at each path as text, and their codes; and ``quarantined``."""
-    out = [_RECORDS.replace("raw_value AS raw, regexp_replace(raw_value,", f"raw_value AS written, {_SPELLED} AS raw, regexp_replace({_SPELLED},")]
+    lenient = _RECORDS.replace(" OR regexp_matches(bare, '(?i)nan|inf')", "")  # Spark's reader takes these as numbers too
+    out = [lenient.replace("raw_value AS raw, regexp_replace(raw_value,", f"raw_value AS written, {_SPELLED} AS raw, regexp_replace({_SPELLED},")]
     out.append(f"""typed2 AS (SELECT *, CASE WHEN jt = 'NULL' THEN NULL WHEN kind = 'code_list' THEN w ELSE s END AS text,
   jt <> 'NULL' AND CASE WHEN kind = 'object' THEN jt <> 'OBJECT' WHEN kind = 'boolean' THEN jt <> 'BOOLEAN' WHEN kind = 'code_list' THEN jt <> 'ARRAY' WHEN kind = 'number' THEN jt NOT IN {_NUMBERS}
     WHEN kind = 'integer' OR name = 'schema_version' THEN jt NOT IN {_WHOLE} OR TRY_CAST(w AS BIGINT) IS NULL OR (TRY_CAST(w AS INTEGER) IS NULL AND name <> 'amount_minor') ELSE false END AS misfit FROM typed)""")
