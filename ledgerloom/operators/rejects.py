@@ -256,12 +256,12 @@ class Screened:
 def _typed(text: Column, kind: str, value_kind: str, is_token: bool) -> Column:
     """A cell as its type; tokens are JSON texts."""
     if value_kind == "timestamp":
-        return F.timestamp_micros(text.cast("bigint"))
+        return F.timestamp_micros(text.try_cast("bigint"))
     if kind == "array<string>":
         return F.from_json(text, kind)
     if is_token and kind == "string":
         return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v:string>")["v"]
-    return text if kind == "string" else text.cast(kind)
+    return text if kind == "string" else text.try_cast(kind)
 
 
 #: Spark's type for each kind of value.

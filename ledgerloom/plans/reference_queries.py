@@ -11,7 +11,7 @@ from ledgerloom.functions import hashing
 from ledgerloom.functions import text as X
 from ledgerloom.functions.profiles import DECISIONS_TOPIC, PAYMENTS_TOPIC
 from ledgerloom.functions.rules import error_codes, first_error
-from ledgerloom.operators import changes, curate, evaluate, features, metrics, reconcile, snapshot
+from ledgerloom.operators import changes, curate, evaluate, features, metrics, reconcile, snapshot, validate
 from ledgerloom.operators.rejects import read_contracts
 from ledgerloom.plans import domain
 from ledgerloom.plans.core_queries import Query, portable
@@ -61,6 +61,12 @@ def first_violations(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("error_code IS NOT NULL").groupBy("error_code").agg(F.count("*").alias("n"))
 
 
+def decision_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The first rule that each rejected decision event fails, by the store's profile and by the worker's."""
+    rows = table(spark, d, "decision_events").select("delivery_id", validate.decision_error().alias("store_error"), validate.decision_error("rules-v1").alias("worker_error"))
+    return rows.filter("store_error IS NOT NULL OR worker_error IS NOT NULL")
+
+
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name in ("payment_events", "decision_events"):
@@ -442,7 +448,7 @@ def outbox_payloads(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        lake_payments, lake_decisions, lake_quarantine, decision_violations, payment_violations, violation_histogram, first_violations, stream_counts, metrics_daily, metrics_merged,
+        lake_payments, lake_decisions, lake_quarantine, decision_violations, payment_violations, violation_histogram, first_violations, decision_errors, stream_counts, metrics_daily, metrics_merged,
         metrics_inspection, payments_current, payment_summary, decision_summary, processing_summary, operational_gauges, recent_decisions,
         latest_versions, pending_reviews, next_due_events, attention_count, newest_decision, decisions_by_day, dispositions, outcome_shares,
         reconciliation_report, reconciliation_counts, reported_exceptions_by_code, outbox_cardinality, exception_context, delay_percentiles,

@@ -176,6 +176,23 @@ _ENVELOPE_ERROR = (
 )
 
 
+def _decision_error(version: str) -> str:
+    uuids = {"event_id": "event_id", "aggregate_id": "aggregate_id", "trace_id": "trace_id", "decision_id": "payload.decision_id", "payment_id": "payload.payment_id", "source_event_id": "payload.source_event_id"}
+    steps = [(f"regexp_full_match(trim({c}), '{_UUID}')", f"{name}: must be a UUID") for c, name in uuids.items()]
+    steps += [
+        ("trim(event_type) = 'risk.decision.completed'", 'event_type must be "risk.decision.completed"'), ("schema_version = 2", "schema_version must be 2"),
+        ("lower(trim(event_id)) = lower(trim(decision_id))", "event_id must match payload.decision_id"), ("lower(trim(aggregate_id)) = lower(trim(payment_id))", "aggregate_id must match payload.payment_id"),
+        ("occurred_at IS NOT NULL AND decision_at IS NOT NULL", "decision timestamps are required"), ("occurred_at = decision_at", "occurred_at must match payload.decision_at"),
+        ("trim(decision) IN ('ALLOW', 'REVIEW', 'BLOCK')", "decision must be ALLOW, REVIEW, or BLOCK"), ("risk_score BETWEEN 0 AND 100 AND rule_score BETWEEN 0 AND 100 AND model_score BETWEEN 0 AND 100", "risk, rule, and model scores must be between 0 and 100"),
+        ("NOT isnan(model_probability) AND model_probability BETWEEN 0 AND 1", "model_probability must be between 0 and 1"),
+        ("NOT isnan(model_review_threshold) AND model_review_threshold > 0 AND model_review_threshold < 1", "model_review_threshold must be between 0 and 1 exclusively"),
+        ("len(reason_codes) > 0", "reason_codes must contain at least one value"), (version, "rule_version must contain 1-255 characters"), ("length(trim(model_version)) BETWEEN 1 AND 255", "model_version must contain 1-255 characters"),
+        ("velocity_5m >= 1", "velocity_5m must be at least 1"), ("regexp_full_match(trim(baseline_country), '[A-Z]{2}')", "baseline_country must contain two uppercase letters"),
+        ("len(list_filter(reason_codes, lambda x: NOT coalesce(regexp_full_match(trim(x), '[A-Z0-9_]{1,100}'), false))) = 0", "invalid reason_code"),
+    ]
+    return "CASE " + " ".join(f"WHEN NOT coalesce({holds}, false) THEN '{message}'" for holds, message in steps) + " END"
+
+
 ORACLE: dict[str, str] = {
     "decision_violations": _query("SELECT delivery_id, errors FROM chk WHERE errors <> ''", "chk"),
     "payment_violations": _query("SELECT delivery_id, errors FROM chp WHERE errors <> ''", "chp"),
@@ -208,6 +225,7 @@ ORACLE: dict[str, str] = {
     "delay_percentiles": _percentiles("publish_ms"),
     "decision_delay_percentiles": _percentiles("decision_ms"),
     "delay_histogram": _query(_HISTOGRAM + " UNION ALL SELECT country, '+Inf', count(decision_ms) FROM delays GROUP BY country", "delays"),
+    "decision_errors": f"SELECT * FROM (SELECT delivery_id, {_decision_error('length(trim(rule_version)) BETWEEN 1 AND 255')} AS store_error, {_decision_error("trim(rule_version) = 'rules-v1'")} AS worker_error FROM decision_events) WHERE store_error IS NOT NULL OR worker_error IS NOT NULL",
     "stream_counters": _query("""SELECT stream_table, source_topic, outcome, count(*) AS n FROM (
   SELECT 'payment_events' AS stream_table, source_topic, CASE WHEN errors <> '' THEN 'rejected' WHEN row_number() OVER (PARTITION BY errors <> '', lower(trim(event_id, ' ')) ORDER BY delivery_id) = 1 THEN 'accepted' ELSE 'repeated' END AS outcome FROM chp
   UNION ALL SELECT 'decision_events', source_topic, CASE WHEN errors <> '' THEN 'rejected' WHEN row_number() OVER (PARTITION BY errors <> '', lower(trim(event_id, ' ')) ORDER BY delivery_id) = 1 THEN 'accepted' ELSE 'repeated' END FROM chk) GROUP BY ALL""", "chp", "chk"),

@@ -90,3 +90,30 @@ class CustomerFeatures(StatefulProcessor):
 def online_features(events: DataFrame, window_ms: int = WINDOW_MS, ttl_ms: int = TTL_MS) -> DataFrame:
     """The features of a stream of events; needs the RocksDB state store."""
     return events.groupBy("customer_id").transformWithStateInPandas(CustomerFeatures(window_ms, ttl_ms), OUTPUT, "Append", "ProcessingTime")
+
+
+class FirstAnswers(StatefulProcessor):
+    """Keeps the first answer of each key and gives it to all that ask later; it expires some time after it was given."""
+
+    def __init__(self, ttl_ms: int = TTL_MS):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "answer string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        asked = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        if not self.kept.exists():
+            self.kept.update((asked["answer"].iloc[0],))
+        yield pd.DataFrame({"cache_key": key[0], "seq": asked["seq"], "answer": self.kept.get()[0]})
+
+    def close(self) -> None:
+        pass
+
+
+def cached_answers(answers: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """(cache_key, seq, answer): of all answers ever given for a key, such as decisions of a source event, the first wins.
+
+    Input: cache_key, answer (text, not null), seq. Needs the RocksDB state store.
+    """
+    return answers.groupBy("cache_key").transformWithStateInPandas(FirstAnswers(ttl_ms), "cache_key string, seq bigint, answer string", "Append", "ProcessingTime")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.commits import AlreadyCommitted
-from ledgerloom.operators import changes, snapshot
+from ledgerloom.operators import changes, snapshot, validate
 from ledgerloom.operators.versioned import Forbidden, VersionedTable
 from ledgerloom.streaming.supervise import retrying
 
@@ -182,3 +182,15 @@ def test_append_only_table(spark, tmp_path):
         with pytest.raises(Forbidden):
             table.upsert(frame(bad), ["v"], deleted)
     assert rows_of(table) == [("a", 1), ("b", None), ("c", 3)]
+
+
+DECISION = "event_id string, aggregate_id string, trace_id string, decision_id string, payment_id string, source_event_id string, event_type string, schema_version int, occurred_at timestamp, decision_at timestamp, decision string, risk_score int, rule_score int, model_score int, model_probability double, model_review_threshold double, reason_codes array<string>, rule_version string, model_version string, velocity_5m int, baseline_country string"
+
+
+def test_decision_errors_in_order(spark):
+    u = "{}0000000-0000-4000-8000-000000000001".format
+    good = {"event_id": u(1), "aggregate_id": u(2), "trace_id": u(3), "decision_id": u(1), "payment_id": u(2), "source_event_id": u(4), "event_type": " risk.decision.completed", "schema_version": 2, "occurred_at": NOW, "decision_at": NOW, "decision": "ALLOW", "risk_score": 1, "rule_score": 0, "model_score": 100, "model_probability": 0.5, "model_review_threshold": 0.5, "reason_codes": ["A_1"], "rule_version": "rules-v2", "model_version": "m", "velocity_5m": 1, "baseline_country": "IN"}
+    cases = [({}, None), ({"trace_id": None, "event_type": "x"}, "trace_id: must be a UUID"), ({"decision_id": u(5), "risk_score": None}, "event_id must match payload.decision_id"), ({"decision_at": None, "occurred_at": None}, "decision timestamps are required"), ({"model_probability": float("nan"), "reason_codes": []}, "model_probability must be between 0 and 1"), ({"reason_codes": None}, "reason_codes must contain at least one value"), ({"reason_codes": ["A", None]}, "invalid reason_code"), ({"rule_version": " " * 3}, "rule_version must contain 1-255 characters"), ({"baseline_country": "in"}, "baseline_country must contain two uppercase letters")]
+    rows = [tuple((good | change).values()) for change, _ in cases]
+    found = spark.createDataFrame(rows, DECISION).coalesce(1).select(validate.decision_error().alias("e"), validate.decision_error("rules-v1").alias("w")).collect()
+    assert [r.e for r in found] == [want for _, want in cases] and found[0].w == "rule_version must contain 1-255 characters"

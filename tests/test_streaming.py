@@ -159,6 +159,15 @@ def test_online_features(spark, tmp_path, one_partition):
     assert got[("c1", "e1")] == [(1, True, False, "IN")] * 2 and got[("c1", "e2")] == [(2, False, True, "IN")]
 
 
+def test_the_first_answer_wins(spark, tmp_path, one_partition):
+    root, schema, got = f"file://{tmp_path}", "cache_key string, answer string, seq bigint", {}
+    for part in ([("a", "ALLOW", 2), ("a", "BLOCK", 1), ("b", "REVIEW", 3)], [("a", "ALLOW", 4), ("b", "BLOCK", 5), ("c", "ALLOW", 6)]):
+        append(spark, f"{root}/in", part, schema)
+        stream = online.cached_answers(replayed_stream(spark, f"{root}/in", schema))
+        stream.writeStream.foreachBatch(lambda b, _: got.update({r.seq: (r.cache_key, r.answer) for r in b.collect()})).option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+    assert got == {1: ("a", "BLOCK"), 2: ("a", "BLOCK"), 3: ("b", "REVIEW"), 4: ("a", "BLOCK"), 5: ("b", "REVIEW"), 6: ("c", "ALLOW")}
+
+
 def test_supervision(spark, tmp_path):
     root = f"file://{tmp_path}"
     append(spark, f"{root}/in", [(1,)], "x int")
