@@ -10,7 +10,9 @@ choose equal short windows at the same place, so no repeated window is lost, whi
 is looked at. A window of L characters stays a candidate while the short window that it chose is repeated; a wrong
 repeat there only keeps a candidate for longer. From L on, windows are told apart by two polynomial hashes modulo the
 prime 2**61 - 1 whose bases are drawn anew for each run, so whatever the texts, two different windows of n characters
-agree with a chance of at most (n / 2**61)**2: with 10**12 windows of 200, one wrong pair in 10**8 runs.
+agree with a chance of at most (n / 2**61)**2: with 10**12 windows of 200, one wrong pair in 10**8 runs. The windows of
+length L that survive are then compared by their characters: neighbours go together, in groups of eight, to where equal
+ones go, a task's own copies having been settled before. The further levels of ``longest_levels`` rest on the hashes.
 
 Repeats are found with one shuffle a level, of packed hashes. A task first compares its own rows: a window that two of
 its texts share is settled there, and one marker stands for it, so however many texts share a window, a task sends it
@@ -403,6 +405,201 @@ def _cut(length: int, level: int):
     return run
 
 
+#: Windows whose characters are sent together: neighbours that lie alike around the short window that they chose.
+GROUP = 8
+#: Code points that a task holds before it compares and packs them.
+FLUSH_POINTS = 8_000_000
+TEXTS = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("positions", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
+_TEXTS = "shard bigint, keys binary, positions binary, sizes binary, text binary"
+
+
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of several stretches, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _equal_stretches(points: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each stretch at ``a`` has the characters of the one at ``b``; compared in parts of bounded size."""
+    out = np.empty(len(a), bool)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 22))) + 1
+    for low, high in zip(np.concatenate([[0], cuts]), np.append(cuts, len(a)), strict=True):
+        if high > low:
+            same = points[_ragged(a[low:high], sizes[low:high])] == points[_ragged(b[low:high], sizes[low:high])]
+            out[low:high] = np.logical_and.reduceat(same, np.cumsum(sizes[low:high]) - sizes[low:high])
+    return out
+
+
+def compared(points: np.ndarray, sizes: np.ndarray, keys: np.ndarray, known: np.ndarray, length: int, hashing: ExactHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of several segments: (segment, whether another key has its characters, whether it is the first such).
+
+    Segment k has ``sizes[k]`` windows and belongs to ``keys[k]``; ``known`` ones are in two texts already. Hashes only
+    bring windows together; whether they are equal is decided by their characters.
+    """
+    widths = sizes + length - 1
+    begins = np.cumsum(widths) - widths
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    at = _ragged(begins, sizes)
+    hashes = np.empty(len(at), np.uint64)
+    room = len(hashing.power) - 1
+    block, first = begins // (room // 2), 0
+    for low in np.unique(block):
+        mine = slice(first, int(np.searchsorted(block, low, side="right")))
+        first = mine.stop
+        base, end = begins[mine.start], begins[mine.stop - 1] + widths[mine.stop - 1]
+        windows = slice(int(np.searchsorted(segment, mine.start)), int(np.searchsorted(segment, mine.stop)))
+        hashes[windows] = hashing.windows(hashing.prefix(points[base:end]), length, at[windows] - base)
+    order = np.argsort(hashes, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+    group = np.empty(len(at), np.int64)
+    group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(at))))
+    like = order[heads][group]
+    others = np.flatnonzero(like != np.arange(len(at)))
+    if len(others):
+        # neighbours that are like neighbours are compared in one stretch
+        twin = like[others]
+        fresh = np.concatenate([[True], (np.diff(others) != 1) | (np.diff(twin) != 1) | (np.diff(segment[others]) != 0) | (np.diff(segment[twin]) != 0)])
+        runs = np.flatnonzero(fresh)
+        counts = np.diff(np.append(runs, len(others)))
+        good = _equal_stretches(points, at[others[runs]], at[twin[runs]], counts + length - 1)
+        doubtful = np.unique(group[others[np.repeat(~good, counts)]])
+        if len(doubtful):
+            names: dict[bytes, int] = {}
+            for w in np.flatnonzero(np.isin(group, doubtful)):
+                group[w] = names.setdefault(points[at[w] : at[w] + length].tobytes(), len(heads) + len(names))
+    order = np.argsort(group, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    of_key = keys[segment][order]
+    several = np.minimum.reduceat(of_key, heads) != np.maximum.reduceat(of_key, heads)
+    several |= np.logical_or.reduceat(known[segment][order], heads)
+    shared = np.empty(len(at), bool)
+    shared[order] = np.repeat(several, np.diff(np.append(heads, len(at))))
+    is_head = np.zeros(len(at), bool)
+    is_head[order[heads[several]]] = True
+    return segment, shared, is_head
+
+
+class Segments:
+    """Stretches of neighbouring windows with their characters; settles what a task's own texts share, packs the rest."""
+
+    def __init__(self, shards: int, length: int, hashing: ExactHasher):
+        self.shards, self.length, self.hashing = shards, length, hashing
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, route: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> None:
+        held = points[_ragged(starts, sizes + self.length - 1)]
+        self.parts.append((held, sizes, route, keys, positions))
+        self.size += len(held)
+
+    def pack(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        points, sizes, route, keys, positions = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        segment, shared, is_head = compared(points, sizes, keys, np.zeros(len(sizes), bool), self.length, self.hashing)
+        within = np.arange(len(segment)) - (np.cumsum(sizes) - sizes)[segment]
+        place = positions[segment] + within
+        rows = []
+        if shared.any():
+            rows.append(_text_row(-1 - int(keys[segment[shared]][0] % self.shards), keys[segment[shared]], place[shared].astype(np.int32), None, None))
+        sent = np.flatnonzero(~shared | is_head)
+        if len(sent):
+            fresh = np.concatenate([[True], (np.diff(sent) != 1) | (np.diff(segment[sent]) != 0) | (is_head[sent][1:] != is_head[sent][:-1])])
+            runs = np.flatnonzero(fresh)
+            first, counts = sent[runs], np.diff(np.append(runs, len(sent)))
+            widths = sizes + self.length - 1
+            begins = (np.cumsum(widths) - widths)[segment[first]] + within[first]
+            own = np.where(is_head[first], MARKER, place[first]).astype(np.int32)
+            shard = ((route[segment[first]] * _MIX[1]) >> np.uint64(20)).astype(np.int64) % self.shards
+            order = np.argsort(shard, kind="stable")
+            cut = np.flatnonzero(np.diff(shard[order])) + 1
+            for low, high in zip(np.concatenate([[0], cut]), np.append(cut, len(order)), strict=True):
+                mine = order[low:high]
+                text = points[_ragged(begins[mine], counts[mine] + self.length - 1)]
+                rows.append(_text_row(int(shard[mine[0]]), keys[segment[first[mine]]], own[mine], counts[mine], text))
+        yield pa.RecordBatch.from_pylist(rows, schema=TEXTS)
+
+
+def _text_row(shard: int, keys: np.ndarray, positions: np.ndarray, sizes: np.ndarray | None, text: np.ndarray | None) -> dict:
+    return {
+        "shard": shard, "keys": np.diff(keys, prepend=0).astype(np.int64).tobytes(), "positions": np.diff(positions, prepend=0).astype(np.int32).tobytes(),
+        "sizes": None if sizes is None else sizes.astype(np.int32).tobytes(), "text": None if text is None else text.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"),
+    }
+
+
+def _scan_texts(length: int, below: int, shards: int, base: int):
+    """A pass over texts (key, offset, text, starts) with the windows of ``length`` that survived; their characters, packed.
+
+    Equal windows choose the same short window at the same place, so they are in the same group of eight around it and
+    have the characters that all eight share; these decide where a group is sent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact, quick = exact_hasher(base, max(BLOCK, 4 * length)), hasher()
+        held = Segments(shards, length, exact)
+        for batch in batches:
+            keys, offsets, texts = (batch.column(k).to_pylist() for k in range(3))
+            for points, owner, begins, shift in blocks(keys, offsets, texts, length):
+                starts, part = starts_that_fit(len(points), begins, length)
+                good = _marked(len(points) + 1, owner, begins, shift, batch.column(3))[starts]
+                starts, part = starts[good], part[good]
+                if not len(starts):
+                    continue
+                pivot = leftmost_minima(quick.windows(quick.prefix(points), below), length - below + 1)[starts]
+                eighth = (pivot - starts) // GROUP
+                fresh = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(part) != 0) | (np.diff(pivot) != 0) | (np.diff(eighth) != 0)])
+                runs = np.flatnonzero(fresh)
+                common = exact.windows(exact.prefix(points), length - GROUP + 1, np.maximum(pivot[runs] - GROUP * eighth[runs], 0))
+                positions = (starts[runs] - begins[part[runs]] + shift[part[runs]]).astype(np.int64)
+                held.add(points, starts[runs], np.diff(np.append(runs, len(starts))), common, np.array(keys, np.int64)[owner[part[runs]]], positions)
+                if held.size > FLUSH_POINTS:
+                    yield from held.pack()
+        yield from held.pack()
+
+    return run
+
+
+def _compare_task(length: int, base: int):
+    """The rows of some shards, in order of the shards, to (key, starts) of the windows whose characters are repeated."""
+
+    def settle(rows: list[dict]) -> pa.RecordBatch | None:
+        sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
+        keys = np.concatenate([np.cumsum(np.frombuffer(r["keys"], np.int64)) for r in rows])
+        positions = np.concatenate([np.cumsum(np.frombuffer(r["positions"], np.int32)) for r in rows])
+        points = np.frombuffer(b"".join(r["text"].decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass") for r in rows), np.uint32)
+        known = positions == MARKER
+        segment, shared, _ = compared(points, sizes, keys, known, length, exact_hasher(base, max(BLOCK, 4 * length)))
+        shared &= ~known[segment]
+        place = positions[segment] + np.arange(len(segment)) - (np.cumsum(sizes) - sizes)[segment]
+        return _by_key(keys[segment[shared]], place[shared].astype(np.int32)) if shared.any() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[dict] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["text"] is None:
+                    yield _by_key(np.cumsum(np.frombuffer(row["keys"], np.int64)), np.cumsum(np.frombuffer(row["positions"], np.int32), dtype=np.int32))
+                    continue
+                if waiting and row["shard"] != waiting[0]["shard"]:
+                    if (found := settle(waiting)) is not None:
+                        yield found
+                    waiting = []
+                waiting.append(row)
+        if waiting and (found := settle(waiting)) is not None:
+            yield found
+
+    return run
+
+
+def _verified(left: DataFrame, alive: DataFrame, length: int, shards: int, base: int) -> DataFrame:
+    """(key, starts) of the surviving windows whose characters another text has."""
+    packed = _narrow(left, alive).mapInArrow(_keep(length), "key bigint, offset int, text string, starts array<int>").mapInArrow(_scan_texts(length, length // 2, shards, base), _TEXTS)
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_PER_TASK))
+    found = packed.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_compare_task(length, base), "key bigint, starts array<int>")
+    return found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+
+
 def _keep(length: int):
     """Texts (key, offset, text, starts) to the parts that hold surviving windows of ``length``, with their positions."""
 
@@ -449,8 +646,8 @@ def shards_for(texts: int) -> int:
     return shards
 
 
-def _levels_below(documents: DataFrame, key: str, text: str, length: int, shards: int) -> DataFrame:
-    """(key, offset, text, starts): what is left of the texts, with the repeated short windows of the level before ``length``."""
+def _levels_below(documents: DataFrame, key: str, text: str, length: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """What is left of the texts (key, offset, text), and the same with the repeated short windows of the level before ``length``."""
     if length < 8 or length >= BLOCK // 2:
         raise ValueError(f"length {length} is not in 8 to {BLOCK // 2}")
     texts = documents.select(F.col(key).cast("bigint").alias("key"), F.lit(0).alias("offset"), F.col(text).alias("text"))
@@ -458,14 +655,15 @@ def _levels_below(documents: DataFrame, key: str, text: str, length: int, shards
     alive = materialize(repeated(texts.mapInArrow(_scan(length, length // 4, shards), _PACKED), shards), "spans-first")
     left = materialize(_narrow(texts, alive).mapInArrow(_cut(length, length // 4), "key bigint, offset int, text string"), "spans-left")
     alive = materialize(repeated(left.mapInArrow(_scan(length, length // 2, shards), _PACKED), shards), "spans-second")
-    return _narrow(left, alive)
+    return left, _narrow(left, alive)
 
 
 def shared_windows(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, starts): where the windows of ``length`` begin that another text holds too, per text, unordered."""
-    shards = shards_for(documents.count())
-    left = _levels_below(documents, key, text, length, shards)
-    return repeated(left.mapInArrow(_scan_exactly(length, length, length // 2, shards, new_bases()), _PACKED), shards)
+    """(key, starts): where the windows of ``length`` begin that another text holds too, character by character; unordered."""
+    shards, bases = shards_for(documents.count()), new_bases()
+    left, narrowed = _levels_below(documents, key, text, length, shards)
+    alive = materialize(repeated(narrowed.mapInArrow(_scan_exactly(length, length, length // 2, shards, bases), _PACKED), shards), "spans-alive")
+    return _verified(left, alive, length, shards, bases[0])
 
 
 def longest_levels(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -475,7 +673,7 @@ def longest_levels(documents: DataFrame, key: str = "doc_id", text: str = "text"
     has left; the loop ends with the first level at which nothing is repeated.
     """
     shards = shards_for(documents.count())
-    left = materialize(_levels_below(documents, key, text, length, shards), "level-left")
+    left = materialize(_levels_below(documents, key, text, length, shards)[1], "level-left")
     packed = left.mapInArrow(_scan_exactly(length, length, length // 2, shards, new_bases()), _PACKED)
     found, level = None, length
     while True:

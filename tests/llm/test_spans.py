@@ -142,6 +142,27 @@ def test_texts_that_no_hash_modulo_a_power_of_two_tells_apart(spark, length):
     assert found(spark, rows, length) == {(1, 10, 10 + length), (3, 99, 99 + length)}
 
 
+@pytest.mark.parametrize("blind", [False, True])
+def test_characters_decide(blind):
+    """Also if all hashes are the same."""
+    length, rng = 6, random.Random(2)
+    hashing = spans.ExactHasher(12345, 64)
+    if blind:
+        hashing.windows = lambda prefix, length, at: np.zeros(len(at), np.uint64)
+    rows = [(rng.randrange(5), "".join(rng.choice("ab") for _ in range(length - 1 + rng.randrange(1, 9))), rng.random() < 0.05) for _ in range(60)]
+    points = np.frombuffer("".join(t for _, t, _ in rows).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(t) - length + 1 for _, t, _ in rows])
+    segment, shared, is_head = spans.compared(points, sizes, np.array([k for k, _, _ in rows]), np.array([m for _, _, m in rows]), length, hashing)
+    windows = [(n, t[i : i + length]) for n, (_, t, _) in enumerate(rows) for i in range(len(t) - length + 1)]
+    owners, marked = defaultdict(set), defaultdict(bool)
+    for n, w in windows:
+        owners[w].add(rows[n][0])
+        marked[w] |= rows[n][2]
+    want = [len(owners[w]) > 1 or marked[w] for _, w in windows]
+    assert segment.tolist() == [n for n, _ in windows] and shared.tolist() == want and 0 < sum(want) < len(want)
+    assert sorted(w for (_, w), h in zip(windows, is_head, strict=True) if h) == sorted({w for (_, w), x in zip(windows, want, strict=True) if x})
+
+
 def test_exact_hashes_against_whole_numbers():
     rng, prime = np.random.default_rng(3), 2**61 - 1
     a, b = (rng.integers(0, prime, 2000, dtype=np.uint64) for _ in range(2))
@@ -162,6 +183,7 @@ def test_texts_moved_to_their_positions(spark, monkeypatch):
 
 def test_many_shards_in_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(spans, "TEXTS_PER_SHARD", 0.2)
+    monkeypatch.setattr(spans, "FLUSH_POINTS", 100)
     rows = corpus(0, 60, 40)
     assert spans.shards_for(60) == 512 and found(spark, rows, 40) == brute(rows, 40)
 
