@@ -11,7 +11,7 @@ is looked at. A window of L characters stays a candidate while the short window
 repeat there only keeps a candidate for longer. From L on, windows are told apart by two polynomial hashes modulo the
 prime 2**61 - 1 whose bases are drawn anew for each run, so whatever the texts, two different windows of n characters
 agree with a chance of at most (n / 2**61)**2: with 10**12 windows of 200, one wrong pair in 10**8 runs. The windows of
-length L that survive are then compared by their characters: neighbours go together, in groups of eight, to where equal
+length L that survive are then compared by their characters: neighbours go together, in groups of up to 32, to where equal
 ones go, a task's own copies having been settled before. The further levels of ``longest_levels`` rest on the hashes.
 
 Repeats are found with one shuffle a level, of packed hashes. A task first compares its own rows: a window that two of
@@ -405,10 +405,10 @@ def _cut(length: int, level: int):
     return run
 
 
-#: Windows whose characters are sent together: neighbours that lie alike around the short window that they chose.
-GROUP = 8
+#: Windows at most whose characters are sent together: neighbours that lie alike around the short window that they chose.
+GROUP = 32
 #: Code points that a task holds before it compares and packs them.
-FLUSH_POINTS = 8_000_000
+FLUSH_POINTS = 4_000_000
 TEXTS = pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("positions", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
 _TEXTS = "shard bigint, keys binary, positions binary, sizes binary, text binary"
 
@@ -530,9 +530,10 @@ def _text_row(shard: int, keys: np.ndarray, positions: np.ndarray, sizes: np.nda
 def _scan_texts(length: int, below: int, shards: int, base: int):
     """A pass over texts (key, offset, text, starts) with the windows of ``length`` that survived; their characters, packed.
 
-    Equal windows choose the same short window at the same place, so they are in the same group of eight around it and
-    have the characters that all eight share; these decide where a group is sent.
+    Equal windows choose the same short window at the same place, so they are in the same group around it and have the
+    characters that all windows of a group share; these decide where a group is sent.
     """
+    group = min(GROUP, length // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, quick = exact_hasher(base, max(BLOCK, 4 * length)), hasher()
@@ -546,10 +547,10 @@ def _scan_texts(length: int, below: int, shards: int, base: int):
                 if not len(starts):
                     continue
                 pivot = leftmost_minima(quick.windows(quick.prefix(points), below), length - below + 1)[starts]
-                eighth = (pivot - starts) // GROUP
-                fresh = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(part) != 0) | (np.diff(pivot) != 0) | (np.diff(eighth) != 0)])
+                which = (pivot - starts) // group
+                fresh = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(part) != 0) | (np.diff(pivot) != 0) | (np.diff(which) != 0)])
                 runs = np.flatnonzero(fresh)
-                common = exact.windows(exact.prefix(points), length - GROUP + 1, np.maximum(pivot[runs] - GROUP * eighth[runs], 0))
+                common = exact.windows(exact.prefix(points), length - group + 1, pivot[runs] - group * which[runs])
                 positions = (starts[runs] - begins[part[runs]] + shift[part[runs]]).astype(np.int64)
                 held.add(points, starts[runs], np.diff(np.append(runs, len(starts))), common, np.array(keys, np.int64)[owner[part[runs]]], positions)
                 if held.size > FLUSH_POINTS:
