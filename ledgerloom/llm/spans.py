@@ -595,7 +595,8 @@ def _compare_task(length: int, base: int):
 
 def _verified(left: DataFrame, alive: DataFrame, length: int, shards: int, base: int) -> DataFrame:
     """(key, starts) of the surviving windows whose characters another text has."""
-    packed = _narrow(left, alive).mapInArrow(_keep(length), "key bigint, offset int, text string, starts array<int>").mapInArrow(_scan_texts(length, length // 2, shards, base), _TEXTS)
+    keep, scan = _keep(length), _scan_texts(length, length // 2, shards, base)
+    packed = _narrow(left, alive).mapInArrow(lambda batches: scan(keep(batches)), _TEXTS)
     tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_PER_TASK))
     found = packed.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_compare_task(length, base), "key bigint, starts array<int>")
     return found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
